@@ -9,6 +9,24 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm.common import read
 
 
+def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.bpe import encode
+
+    coded = encode(read(spark, sf_dir, "documents"), "word_bpe_49k.json")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.bpe import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents"), "word_bpe_49k.json")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.simhash import near_duplicates
 
@@ -18,6 +36,8 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
     }
 
