@@ -7,6 +7,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.bytespans import blocks
@@ -61,3 +62,37 @@ def map_blocks(
                 yield from (x for x in out if x.num_rows)
 
     return df.mapInArrow(run, schema)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Tables of whole groups from batches sorted by their first ``keys`` columns (not null)."""
+    held: list[pa.RecordBatch] = []
+
+    def key(batch: pa.RecordBatch, row: int) -> tuple:
+        return tuple(batch.column(k)[row].as_py() for k in range(keys))
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        last = key(batch, n - 1)
+        same = None
+        for k in range(keys):
+            equal = pc.equal(batch.column(k), pa.scalar(last[k], batch.schema.field(k).type))
+            same = equal if same is None else pc.and_(same, equal)
+        cut = n - pc.sum(same).as_py()  # the last group begins here
+        if held and (cut or key(held[-1], held[-1].num_rows - 1) != last):
+            if key(held[-1], held[-1].num_rows - 1) == key(batch, 0):
+                held.append(batch.slice(0, cut))
+                head = 0
+            else:
+                head = cut
+            yield pa.Table.from_batches(held)
+            held = []
+            if head:
+                yield pa.Table.from_batches([batch.slice(0, head)])
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)

@@ -34,11 +34,19 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.substring import remove_repeats
+
+    done = remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), window=35, joined=True)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
+        "op6_substring_dedup": op6_substring_dedup,
     }
 
 
