@@ -41,12 +41,32 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import crf
+
+    docs = read(spark, sf_dir, "documents")
+    model = crf.train(docs, read(spark, sf_dir, "labels"))
+    scored = crf.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", crf.held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= crf.PREDICT_FROM).cast("int").alias("predicted"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm import rules
+
+    judged = rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.col(f"{rules.HELD}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    failed, kept = F.col("__verdict.base_failed"), F.col("__verdict.kept")
+    return judged.select("doc_id", *counts, failed.alias("base_failed"), (~failed & kept).alias("kept"), F.col("__verdict.good").alias("good_probability"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
