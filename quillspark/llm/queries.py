@@ -41,6 +41,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.packing import best_fit
+
+    return best_fit(read(spark, sf_dir, "documents"), "byte_bpe_50k.json", 2048)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import crf
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_quality_rules": op9_quality_rules,
     }
