@@ -31,6 +31,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillspark.llm.merkle import against_edits
+
+    return against_edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm.bpe import encode
 
@@ -90,6 +96,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_document_fingerprints": op2_document_fingerprints,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op4_token_counts": op4_token_counts,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
