@@ -29,16 +29,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (a
-    single machine, as in tests) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a single machine,
+    as in tests) a temporary folder is taken.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
+    return named or context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

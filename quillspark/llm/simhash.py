@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.bytespans import Words
-from quillspark.llm.common import checkpointed, map_blocks
+from quillspark.llm.common import checkpointed, map_blocks, whole_groups
 from quillspark.llm.components import components
 
 RADIUS = 1
 CODE_BITS = 15
 #: Fingerprints of one anchor that are compared as one tile; larger groups are tiled.
 TILE = 4096
+#: Up to this size groups are compared together, at every lag.
+SMALL = 64
+#: Keys of large groups that are broadcast, at most (16 bytes each).
+HOT_BROADCAST = 100_000
 #: From so many distinct fingerprints on, two wide fields select better than three.
 WIDE_FROM = 1 << 27
 
@@ -177,6 +181,24 @@ def _edge_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(a[:, 0])), pa.array(np.ascontiguousarray(a[:, 1]))], names=["u", "v"])
 
 
+def deal(rows: DataFrame, key: str, member: list[str], size: int) -> DataFrame:
+    """Rows with the columns ``tile`` and ``probes``: groups of one key, cut for comparison.
+
+    A group of more than ``size`` rows has as many tiles as it takes; each row is the
+    probe of one tile and a member of all, so that tiles together compare all pairs.
+    The few large keys are broadcast only if they are few; else they are joined.
+    """
+    hot = rows.groupBy(key).count().filter(F.col("count") > size).select(key, F.ceil(F.col("count") / size).cast("int").alias("tiles"))
+    hot = checkpointed(hot)
+    n = hot.count()
+    if not n:
+        return rows.withColumn("tile", F.lit(0)).withColumn("probes", F.lit(True))
+    rows = rows.join(F.broadcast(hot) if n <= HOT_BROADCAST else hot, key, "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    own = F.pmod(F.xxhash64(*member), F.col("tiles")).cast("int")
+    rows = rows.withColumn("__own", own).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.withColumn("probes", F.col("__own") == F.col("tile")).drop("__own", "tiles")
+
+
 def links(fps: DataFrame, threshold: int = 4, parts: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints that give the components of all pairs with
     ``threshold`` or fewer differing bits.
@@ -187,50 +209,23 @@ def links(fps: DataFrame, threshold: int = 4, parts: int | None = None) -> DataF
     no comparison is left out.  Each tile emits spanning links, never all its pairs.
     """
     parts = parts or (3 if fps.count() < WIDE_FROM else 2)
-    rows = _replicas(fps, parts, threshold)
-    hot = rows.groupBy("anchor").count().filter(F.col("count") > TILE)
-    hot = hot.select("anchor", F.ceil(F.col("count") / TILE).cast("int").alias("tiles"))
-    rows = rows.join(hot, "anchor", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("anchor", "tile", (own == F.col("tile")).alias("probes"), "fp")
+    rows = deal(_replicas(fps, parts, threshold), "anchor", ["fp"], TILE).select("anchor", "tile", "probes", "fp")
     width = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(width, "anchor", "tile").sortWithinPartitions("anchor", "tile")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # columns of the group that may go on
-
-        def close(parts_: list[tuple]) -> list[tuple[int, int]]:
-            key, tile, probes, fp = (np.concatenate(x) for x in zip(*parts_))
+        for table in whole_groups(batches, 2):
+            key, tile, probes, fp = (c.to_numpy() for c in table.columns)
+            fp = fp.view(np.uint64)
             ends = np.flatnonzero((key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
             size = np.diff(np.concatenate([[0], ends, [key.size]]))
-            big = np.repeat(size > 64, size)
             group = np.repeat(np.arange(size.size), size)
+            big = np.repeat(size > SMALL, size)
             pairs = small_links(group[~big], fp[~big], threshold)
-            for g in np.flatnonzero(size > 64):
+            for g in np.flatnonzero(size > SMALL):
                 a, b = np.searchsorted(group, [g, g + 1])
                 pairs += tile_links(fp[a:b][probes[a:b]], fp[a:b][~probes[a:b]], threshold)
-            return pairs
-
-        for batch in batches:
-            key, tile, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
-            probes = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            if not key.size:
-                continue
-            fp = fp.view(np.uint64)
-            last = np.flatnonzero((key != key[-1]) | (tile != tile[-1]))
-            cut = int(last[-1]) + 1 if last.size else 0
-            if held and (cut or (held[-1][0][-1], held[-1][1][-1]) != (key[0], tile[0])):
-                held.append((key[:cut], tile[:cut], probes[:cut], fp[:cut]))
-                if pairs := close(held):
-                    yield _edge_batch(pairs)
-                held = []
-            elif cut:
-                if pairs := close([(key[:cut], tile[:cut], probes[:cut], fp[:cut])]):
-                    yield _edge_batch(pairs)
-            held.append((key[cut:], tile[cut:], probes[cut:], fp[cut:]))
-        if held:
-            if pairs := close(held):
+            if pairs:
                 yield _edge_batch(pairs)
 
     return rows.mapInArrow(run, "u long, v long")
