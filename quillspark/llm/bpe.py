@@ -19,8 +19,10 @@ import codecs
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -30,7 +32,7 @@ from quillspark.llm.common import map_blocks, tokenizer_path
 #: Words up to this length are remembered in a worker; longer ones are encoded each time.
 CACHED_WORD = 48
 #: Words remembered in each of two generations.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 400_000
 #: Neighbouring tokens whose compatibility is remembered.
 PAIR_CACHE = 1_000_000
 
@@ -93,7 +95,15 @@ class Model:
         for made, (left, right) in self.parts.items():
             self.symbols[made] = self.symbols[left] + self.symbols[right]
         self.longest = max(map(len, self.symbols.values()))
-        self._pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.trie: dict = {}  # symbols from a token's end backwards; at -1 the token, or -1
+        for token, symbols in self.symbols.items():
+            node = self.trie
+            for s in reversed(symbols):
+                node = node.setdefault(s, {-1: -1})
+            node[-1] = token
+        self.byte_of = {c: b for b, c in enumerate(of_byte)}
+        self.window = self.lookahead()
 
     def lookahead(self) -> int:
         """Symbols to the right of a boundary that can still move it.
@@ -188,13 +198,13 @@ class Model:
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' text is these two tokens."""
         key = left << 20 | right
-        known = self._pairs.get(key)
+        known = self.pairs.get(key)
         if known is None:
             token, _ = self.merge([*self.symbols[left], *self.symbols[right]])
             known = [t for t in token if t >= 0] == [left, right]
-            if len(self._pairs) >= PAIR_CACHE:
-                self._pairs.clear()
-            self._pairs[key] = known
+            if len(self.pairs) >= PAIR_CACHE:
+                self.pairs.clear()
+            self.pairs[key] = known
         return known
 
 
@@ -203,44 +213,41 @@ class Transducer:
 
     def __init__(self, model: Model):
         self.model = model
-        if not hasattr(model, "trie"):
-            trie: list[dict[int, int]] = [{}]
-            ends: list[int] = [-1]
-            for token, symbols in model.symbols.items():
-                at = 0
-                for s in reversed(symbols):
-                    at = trie[at].setdefault(s, len(trie))
-                    if at == len(trie):
-                        trie.append({})
-                        ends.append(-1)
-                ends[at] = token
-            model.trie, model.ends, model.window = trie, ends, model.lookahead()
         self.pending: list[int] = []
         self.last: list[int] = [-1]  # the last token of each prefix since the stable boundary
         self.parent: list[int] = [-1]
 
-    def feed(self, symbol: int) -> list[int]:
-        """Take a symbol; return the tokens that have become stable."""
-        m = self.model
-        pending, last, trie, ends = self.pending, self.last, m.trie, m.ends
-        pending.append(symbol)
-        n = len(pending)
-        at, i, found = 0, n, []
-        while i:
-            at = trie[at].get(pending[i - 1])
-            if at is None:
-                break
-            i -= 1
-            if ends[at] >= 0:
-                found.append((ends[at], i))
-        for token, i in reversed(found):  # longest first
-            if last[i] < 0 or m.compatible(last[i], token):
-                last.append(token)
-                self.parent.append(i)
-                break
-        else:
-            raise ValueError("no token fits; the merge list isn't proper")
-        return self._stable() if n >= 2 * m.window else []
+    def feed(self, symbols: Iterable[int]) -> list[int]:
+        """Take symbols; return the tokens that have become stable."""
+        out: list[int] = []
+        model = self.model
+        trie, pairs, full = model.trie, model.pairs, 2 * model.window
+        pending, last, parent = self.pending, self.last, self.parent
+        for symbol in symbols:
+            node = trie[symbol]
+            i = len(pending)
+            pending.append(symbol)
+            fits, at = -1, i  # the longest token that ends here and agrees with the prefix before it
+            while True:
+                token = node[-1]
+                if token >= 0:
+                    left = last[i]
+                    if left < 0 or (pairs.get(left << 20 | token) or model.compatible(left, token)):
+                        fits, at = token, i
+                if not i:
+                    break
+                i -= 1
+                node = node.get(pending[i])
+                if node is None:
+                    break
+            if fits < 0:
+                raise ValueError("no token fits; the merge list isn't proper")
+            last.append(fits)
+            parent.append(at)
+            if len(pending) >= full:
+                out += self._stable()
+                pending, last, parent = self.pending, self.last, self.parent
+        return out
 
     def _stable(self) -> list[int]:
         n = len(self.pending)
@@ -272,10 +279,8 @@ class Transducer:
 
 def encode_word(model: Model, word: str) -> list[int]:
     machine = Transducer(model)
-    out: list[int] = []
-    for s in model.start(word):
-        out += machine.feed(s)
-    return out + machine.finish()
+    out = machine.feed(model.start(word))
+    return out + machine.finish() if out else machine.finish()
 
 
 class Decoder:
@@ -291,23 +296,25 @@ class Decoder:
         self._model, self._surfaces = model, surfaces
         self._text = codecs.getincrementaldecoder("utf-8")("replace")
         self._begun = False
-        self._byte = {c: b for b, c in enumerate(byte_symbols())}
 
     def _bytes(self, token: int) -> bytes:
         surface = self._model.surface.get(token)
         if surface is None:
             return b""
-        if self._surfaces:
-            out = (" " if self._begun else "") + surface
-            self._begun = True
-            return out.encode()
         if surface in self._model.special:
             return surface.encode()
         ends = bool(self._model.suffix) and surface.endswith(self._model.suffix)
         body = surface[: len(surface) - len(self._model.suffix)] if ends else surface
-        return bytes(self._byte[c] for c in body) + (b" " if ends else b"")
+        return bytes(self._model.byte_of[c] for c in body) + (b" " if ends else b"")
 
     def feed(self, ids: Iterable[int]) -> str:
+        if self._surfaces:
+            known = self._model.surface
+            said = " ".join([known[i] for i in ids if i in known])
+            if self._begun and said:
+                said = f" {said}"
+            self._begun = self._begun or bool(said)
+            return said
         return "".join(self._text.decode(self._bytes(i)) for i in ids)
 
     def finish(self) -> str:
@@ -319,15 +326,24 @@ def decode(model: Model, ids: Iterable[int], surfaces: bool = True) -> str:
     return machine.feed(ids) + machine.finish()
 
 
-_models: dict[int, Model] = {}
+#: Of the file that this worker process used last: the model and its memories of words.
+_worker: dict = {}
+
+
+def _known(shared, kind: str, make: Callable[[Model, str], object]) -> tuple[Model, Memory]:
+    """The model of a broadcast file and a memory of words, kept between a worker's tasks."""
+    if _worker.get("id") != shared.id:
+        _worker.clear()
+        _worker.update(id=shared.id, model=Model(shared.value))
+    model = _worker["model"]
+    if kind not in _worker:
+        _worker[kind] = Memory(lambda word: make(model, word))
+    return model, _worker[kind]
 
 
-def _model(shared) -> Model:
-    """The model of a broadcast file; built once in a worker."""
-    if shared.id not in _models:
-        _models.clear()
-        _models[shared.id] = Model(shared.value)
-    return _models[shared.id]
+def _coded(model: Model, word: str) -> tuple[bytes, str]:
+    ids = encode_word(model, word)
+    return array("i", ids).tobytes(), decode(model, ids)
 
 
 class _Shared:
@@ -353,28 +369,23 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     a null id is kept; no rows give no rows; other columns are ignored.
     """
     shared = _Shared(docs, tokenizer)
-    memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = _model(shared)
-        if not memory:
-            memory["of"] = Memory(lambda w: ((x := encode_word(model, w)), decode(model, x)))
-        known = memory["of"]
-        ids, decoded = [], []
+        model, known = _known(shared, "coded", _coded)
+        ids, sizes, decoded = [], [0], []
         for text in batch.column("t").to_pylist():
-            row: list[int] = []
-            says: list[str] = []
+            pairs = []
             for is_special, part in model.segments(text or ""):
                 if is_special:
-                    row.append(model.special[part])
-                    says.append(part)
+                    pairs.append((array("i", [model.special[part]]).tobytes(), part))
                 else:
-                    for x, s in map(known.__getitem__, model.split(part)):
-                        row += x
-                        says.append(s)
+                    pairs += map(known.__getitem__, model.split(part))
+            row = b"".join([p[0] for p in pairs])
             ids.append(row)
-            decoded.append(" ".join(says))
-        return pa.RecordBatch.from_arrays([batch.column("i"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
+            sizes.append(sizes[-1] + len(row) // 4)
+            decoded.append(" ".join([p[1] for p in pairs]))
+        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column("i"), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
@@ -388,13 +399,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str
     id is kept; no rows give no rows; other columns are ignored.
     """
     shared = _Shared(docs, tokenizer)
-    memory: dict = {}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = _model(shared)
-        if not memory:
-            memory["of"] = Memory(model.count)
-        known = memory["of"].__getitem__
+        model, memory = _known(shared, "counts", Model.count)
+        known = memory.__getitem__
         counts = [
             sum(1 if is_special else sum(map(known, model.split(part))) for is_special, part in model.segments(text or ""))
             for text in batch.column("t").to_pylist()
