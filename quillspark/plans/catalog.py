@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from quillspark.plans import scalar  # noqa: F401
+from quillspark.plans import relational, scalar  # noqa: F401
