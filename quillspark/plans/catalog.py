@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from quillspark.plans import markup, relational, scalar, web  # noqa: F401
+from quillspark.plans import advanced, markup, relational, scalar, web  # noqa: F401
