@@ -46,19 +46,24 @@ def root(fp: Column) -> Column:
     return F.substring_index(fp, ";", 1)
 
 
-def _leaves(fp: Column) -> Column:
+def leaves(fp: Column) -> Column:
+    """The leaves of a fingerprint, in order."""
     return F.regexp_extract_all(F.substring_index(fp, ";", -1), F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
+def likeness_of(same_root: Column, x: Column, y: Column) -> Column:
+    """The likeness of two trees from their leaves, best given as columns, which are then read once."""
+    every = F.greatest(F.size(x) + F.size(y), F.lit(1))
+    places = 2.0 * F.aggregate(F.zip_with(x, y, lambda p, q: F.when(p == q, 1).otherwise(0)), F.lit(0), lambda n, k: n + k) / every
+    shared = 2.0 * F.size(F.array_intersect(x, y)) / F.greatest(F.size(F.array_distinct(x)) + F.size(F.array_distinct(y)), F.lit(1))
+    return F.when(same_root, 1.0).otherwise(F.greatest(places, shared))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1: 1 for equal roots; else the larger of two shares, of distinct leaves found in
     both trees wherever they stand, and of leaves that are equal place by place (repeated
     leaves count each time there)."""
-    x, y = _leaves(a), _leaves(b)
-    places = 2.0 * F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) / F.greatest(F.size(x) + F.size(y), F.lit(1))
-    dx, dy = F.array_distinct(x), F.array_distinct(y)
-    shared = 2.0 * F.size(F.array_intersect(dx, dy)) / F.greatest(F.size(dx) + F.size(dy), F.lit(1))
-    return F.when(root(a) == root(b), 1.0).otherwise(F.greatest(places, shared))
+    return likeness_of(root(a) == root(b), leaves(a), leaves(b))
 
 
 def differing_paragraphs(a: Column, b: Column) -> Column:
@@ -130,18 +135,24 @@ def against_edits(docs: DataFrame) -> DataFrame:
     document's: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
-    many of the next document.  Rows of one id count as one document, with the smallest
-    of their texts (null texts are empty); a null id is an id before all others; a single
+    many of the next document.  Rows of one id count as one document, with the shortest
+    of their texts (of equally long ones that of least hash; null texts are empty); a null id is an id before all others; a single
     document is its own next; no rows give no rows; other columns are ignored.
 
     Texts are shuffled once, by id; a document sends its predecessor only the characters
     that the edit needs and its fingerprint.
     """
-    texts = docs.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    needs = with_next(texts.select("doc_id", F.floor(F.length("text") / 4).cast("int").alias("need")))
-    sent = needs.select(F.col("doc_id").alias("to"), "next_id", "need").join(texts, F.col("next_id").eqNullSafe(F.col("doc_id")))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    place = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))
+    key = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))  # noqa: E731  a null id is a key too
+    # one struct, so both joins ask for the same columns and share one exchange of the texts
+    texts = rows.groupBy(key(F.col("doc_id")).alias("key")).agg(F.min_by(F.struct("doc_id", "text"), place).alias("row")).select("key", "row.doc_id", "row.text")
+    # lengths come from a narrow scan of their own, so texts are shuffled once
+    needs = with_next(rows.groupBy("doc_id").agg(F.min(place).alias("place")).select("doc_id", F.floor(F.col("place.n") / 4).cast("int").alias("need")))
+    needs = needs.select(key(F.col("doc_id")).alias("to"), key(F.col("next_id")).alias("next_key"), "need")
+    sent = needs.join(texts, F.col("next_key") == F.col("key"))
     sent = sent.select("to", "need", F.left("text", F.col("need")).alias("taken"), fingerprint(F.col("text")).alias("next_fingerprint"))
-    both = texts.join(sent, F.col("doc_id").eqNullSafe(F.col("to")))
+    both = texts.join(sent, F.col("key") == F.col("to"))
     edited = F.concat(F.left("text", F.length("text") - F.col("need")), "taken")
     made = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_fingerprint")
     made = made.select(
@@ -152,5 +163,8 @@ def against_edits(docs: DataFrame) -> DataFrame:
         fingerprint(F.col("edited")).alias("edited_fingerprint"),
         "next_fingerprint",
     )
-    near = made.withColumn("near_edited", likeness(F.col("fingerprint"), F.col("edited_fingerprint")))
-    return near.withColumn("near_next", likeness(F.col("fingerprint"), F.col("next_fingerprint"))).drop("next_fingerprint")
+    named = {"own": "fingerprint", "changed": "edited_fingerprint", "following": "next_fingerprint"}
+    made = made.withColumns({k: leaves(F.col(v)) for k, v in named.items()})
+    near = lambda v, k: likeness_of(root(F.col("fingerprint")) == root(F.col(v)), F.col("own"), F.col(k))
+    made = made.withColumn("near_edited", near("edited_fingerprint", "changed")).withColumn("near_next", near("next_fingerprint", "following"))
+    return made.drop("next_fingerprint", *named)
