@@ -58,6 +58,8 @@ def line_features(lines: list[bytes]) -> np.ndarray:
 def with_neighbours(own: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A line's features, those of the lines before and after (zeros at the ends of a text), and 1."""
     before, after = np.zeros_like(own), np.zeros_like(own)
+    if not own.shape[0]:
+        return np.zeros((0, 3 * own.shape[1] + 1))
     before[1:], after[:-1] = own[:-1], own[1:]
     begins = first[:-1][np.diff(first) > 0]
     before[begins] = 0
