@@ -99,12 +99,12 @@ def convert(html: str | None) -> dict:
         plain = re.sub(r"\[/?[a-z]+\]|^#+ |^- ", "", body, flags=re.M)
         plain = re.sub(r"\[[^|\]\s]+\|([^\]]*)\]", r"\1", plain).replace("_", "")
         title = walk.title()
-        return {"title": title, "zml": f"---\ntitle: {title}\n---\n\n{body}\n", "coverage": round(seen(plain) / mass, 3) if mass else 1.0, "error": None}
+        return {"title": title, "markup": f"---\ntitle: {title}\n---\n\n{body}\n", "coverage": round(seen(plain) / mass, 3) if mass else 1.0, "error": None}
     except Exception as e:  # one page that fails doesn't stop the others
-        return {"title": None, "zml": None, "coverage": None, "error": f"{type(e).__name__}: {e}"}
+        return {"title": None, "markup": None, "coverage": None, "error": f"{type(e).__name__}: {e}"}
 
 
-convert_page = F.udf(convert, T.StructType().add("title", "string").add("zml", "string").add("coverage", "double").add("error", "string"), useArrow=True)
+convert_page = F.udf(convert, T.StructType().add("title", "string").add("markup", "string").add("coverage", "double").add("error", "string"), useArrow=True)
 
 _WRAP = {"epi": ("<blockquote class=\"epi\">", "</blockquote>"), "quote": ("<blockquote>", "</blockquote>"), "sig": ("<p class=\"sig\">", "</p>"), "sub": ("<p class=\"sub\">", "</p>"), "poem": ("<div class=\"poem\">", "</div>")}
 
@@ -122,10 +122,10 @@ def resolve_inline(text: str, titles: dict[str, str] | None = None) -> str:
     return re.sub(r"\|\|([^|\n]+)\|\|", r'<span class="spoiler">\1</span>', s)
 
 
-def render(zml: str | None, titles: dict[str, str] | None = None) -> dict:
+def render(source: str | None, titles: dict[str, str] | None = None) -> dict:
     """The HTML of a document's body; a document that fails gives its error."""
     try:
-        src = re.sub(r"\A---\n.*?\n---\n?", "", zml or "", flags=re.S).lstrip("\n")
+        src = re.sub(r"\A---\n.*?\n---\n?", "", source or "", flags=re.S).lstrip("\n")
         main, notes = split_notes(src)
         out, heads = [], []
         for b in parse_blocks(main):

@@ -89,7 +89,7 @@ def nested_anchors(spark, sf_dir):
 
 @register("convert_pages", "C23 C24 C27 C28 C29 C34 C39 C52 F9", None)
 def convert_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", convert.convert_page("html").alias("r")).select("page_id", "r.title", "r.zml", "r.coverage", "r.error")
+    return table(spark, sf_dir, "pages").select("page_id", convert.convert_page("html").alias("r")).select("page_id", "r.title", "r.markup", "r.coverage", "r.error")
 
 
 @register("convert_coverage", "F9 F19 L8", "SELECT count(*) AS n, 0::BIGINT AS errors, count(*) AS covered FROM pages")

@@ -237,13 +237,13 @@ def settings_sanitised(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", width.alias("width"), F.size(rules).cast("long").alias("n_rules"))
 
 
-_MENTIONS = "(VALUES (1,'see {bereshit|12} and {bereshit|12|5}'),(2,'plain Zohar text'),(3,'https://x.example/zohar'),(4,'nothing')) AS t(id, line)"
+_MENTIONS = "(VALUES (1,'see {alpha|12} and {alpha|12|5}'),(2,'plain Source text'),(3,'https://x.example/source'),(4,'nothing')) AS t(id, line)"
 
 
 @register("mention_scan", "C44 J36 F2", "SELECT * FROM (VALUES (1,'tag',2),(2,'prose',0),(3,'url',0),(4,'none',0)) AS t(id, kind, n_tags)")
 def mention_scan(spark, sf_dir):
     tags = F.regexp_extract_all("line", L(r"(\{[a-z]+\|\d+(?:\|\d+)?\})"), L(1))
-    kind = F.when(F.size(tags) > 0, "tag").when(F.col("line").rlike("https?://"), "url").when(F.col("line").rlike("(?i)zohar"), "prose").otherwise("none")
+    kind = F.when(F.size(tags) > 0, "tag").when(F.col("line").rlike("https?://"), "url").when(F.col("line").rlike("(?i)source"), "prose").otherwise("none")
     return literal(spark, _MENTIONS).select("id", kind.alias("kind"), F.size(tags).alias("n_tags"))
 
 

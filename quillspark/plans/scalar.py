@@ -216,14 +216,14 @@ def truthy_words(spark, sf_dir):
 
 @register("identifier_checks", "D10 D16", """
 SELECT p_partkey, regexp_matches('P'||p_partkey, '^[A-Za-z0-9_-]{1,40}$') AS id_ok, regexp_matches(p_name,'^[a-z]{3,6}$') AS nick_ok,
- regexp_matches('docs/art/'||p_partkey||'.zml','^(docs/|manifest[.]json$)') AND NOT contains('docs/art/'||p_partkey,'..') AS path_ok FROM part""")
+ regexp_matches('docs/art/'||p_partkey||'.doc','^(docs/|manifest[.]json$)') AND NOT contains('docs/art/'||p_partkey,'..') AS path_ok FROM part""")
 def identifier_checks(spark, sf_dir):
     path = F.concat(L("docs/art/"), F.col("p_partkey").cast("string"))
     return table(spark, sf_dir, "part").select(
         "p_partkey",
         F.concat(L("P"), F.col("p_partkey").cast("string")).rlike("^[A-Za-z0-9_-]{1,40}$").alias("id_ok"),
         F.col("p_name").rlike("^[a-z]{3,6}$").alias("nick_ok"),
-        (F.concat(path, L(".zml")).rlike(r"^(docs/|manifest[.]json$)") & ~F.contains(path, L(".."))).alias("path_ok"),
+        (F.concat(path, L(".doc")).rlike(r"^(docs/|manifest[.]json$)") & ~F.contains(path, L(".."))).alias("path_ok"),
     )
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def documents(spark: SparkSession, folder: str, ids: list[str] | None = None, suffix: str = ".zml") -> DataFrame:
-    """(art, src) of the files with the suffix; ``ids`` restricts them."""
+def documents(spark: SparkSession, folder: str, ids: list[str] | None = None, suffix: str = ".doc") -> DataFrame:
+    """(art, src) of the files with the suffix; ``ids`` restricts them; empty files give no row."""
     name = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*){suffix.replace('.', chr(92) + '.')}$", 1)
     found = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True).select(name.alias("art"), F.col("value").alias("src"))
     return found.filter(F.col("art").isin(ids)) if ids is not None else found
@@ -21,7 +21,7 @@ def xml_rows(spark: SparkSession, path: str, tag: str = "work", schema: str = "_
 
 
 def listing(spark: SparkSession, folder: str, drop_names: list[str], drop_folders: list[str]) -> DataFrame:
-    """(path, modified, length) of all files below a folder but for names and folders left out."""
+    """(path, modified, length) of all files below a folder but for names and folders left out; empty files give no row."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("modificationTime").alias("modified"), "length")
     keep = ~F.regexp_extract("path", "([^/]+)$", 1).isin(drop_names)
     for d in drop_folders:

@@ -77,9 +77,9 @@ def test_balanced_json_and_regions():
 def test_convert_covers_and_isolates():
     page = "<html><head><title>t</title></head><body><h1>T</h1><div><h2>Two</h2><p>a <em>b</em><br>c</p><ul><li>x</li></ul></div></body></html>"
     out = convert.convert(page)
-    assert out["title"] == "T" and "## Two" in out["zml"] and "a _b_\nc" in out["zml"] and out["coverage"] == 1.0
+    assert out["title"] == "T" and "## Two" in out["markup"] and "a _b_\nc" in out["markup"] and out["coverage"] == 1.0
     assert convert.convert(None)["error"] is None
-    html = convert.render(out["zml"])["html"]
+    html = convert.render(out["markup"])["html"]
     assert "<h2>Two</h2>" in html and "<em>b</em>" in html
 
 
@@ -95,14 +95,14 @@ def test_retry_machine():
 def test_file_sources(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
-    (docs / "A1.zml").write_text("one\ntwo", encoding="utf-8")
-    (docs / "B2.zml").write_text("b", encoding="utf-8")
+    (docs / "A1.doc").write_text("one\ntwo", encoding="utf-8")
+    (docs / "B2.doc").write_text("b", encoding="utf-8")
     (docs / "skip.txt").write_text("# c\n\nx\n", encoding="utf-8")
     found = {r.art: r.src for r in files.documents(spark, str(docs)).collect()}
     assert found["A1"] == "one\ntwo" and "skip" not in found
     assert [r.art for r in files.documents(spark, str(docs), ["A1"]).collect()] == ["A1"]
     assert [r.line for r in files.comment_free(spark, str(docs / "skip.txt")).collect()] == ["x"]
-    assert {r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path), ["skip.txt"], ["none"]).collect()} == {"A1.zml", "B2.zml"}
+    assert {r.path.rsplit("/", 1)[1] for r in files.listing(spark, str(tmp_path), ["skip.txt"], ["none"]).collect()} == {"A1.doc", "B2.doc"}
     (tmp_path / "w.xml").write_text('<r><work url="u" link="l"/><work url="v" link="k"/></r>', encoding="utf-8")
     assert {(r._url, r._link) for r in files.xml_rows(spark, str(tmp_path / "w.xml")).collect()} == {("u", "l"), ("v", "k")}
     (tmp_path / "j.json").write_text('{"a": 1,\n "b": ["x"]}', encoding="utf-8")
