@@ -209,3 +209,50 @@ def markdown(text: str) -> str:
 
 
 markdown_html = F.udf(lambda s: None if s is None else markdown(s), T.StringType(), useArrow=True)
+
+#: Classes of note containers, note numbers and back links (fixed values).
+NOTE_BOXES, NOTE_NUMBERS, BACK = {"notes", "footnotes", "references"}, {"num", "marker"}, {"back", "backref"}
+NOTE_ROW = T.StructType().add("pos", "integer").add("grp", "string").add("id", "long").add("glyph", "string").add("body", "string")
+
+
+def harvest(html: str | None) -> list[dict]:
+    """Notes of a page: items of note containers, with number, series glyph and text.
+
+    The number is that of the marker span, else of the back link, else the last digits of the item's
+    id.  With one container notes have no group; with several they are s1, s2 and so on.  A
+    container inside another belongs to it.
+    """
+    walk = _Walk(tree(html))
+    nodes = walk.nodes
+    names = lambda n: set(n["attrs"].get("class", "").split())
+
+    def below(i: int):
+        for k in walk.kids.get(i, ()):
+            yield k
+            yield from below(k)
+
+    boxes, inside = [], set()
+    for n in nodes:
+        if names(n) & NOTE_BOXES and n["id"] not in inside:
+            boxes.append(n["id"])
+            inside |= set(below(n["id"]))
+    out = []
+    for b, box in enumerate(boxes, 1):
+        for i in below(box):
+            if nodes[i]["tag"] != "li":
+                continue
+            own = list(below(i))
+            marker = next((k for k in own if names(nodes[k]) & NOTE_NUMBERS), None)
+            back = next((k for k in own if nodes[k]["tag"] == "a" and (names(nodes[k]) & BACK or "ref" in nodes[k]["attrs"].get("href", ""))), None)
+            text = "" if marker is None else "".join(map(walk.inline, walk.kids.get(marker, ()))).strip()
+            sources = (text, "" if back is None else nodes[back]["attrs"].get("href", ""), nodes[i]["attrs"].get("id", ""))
+            digits = [re.findall(r"\d+", s) for s in sources]
+            glyph = re.sub(r"[\d\s.):]+", "", text)
+            skip = {k for k in (marker, back) if k is not None}
+            body = "".join(walk.inline(k) for k in walk.kids.get(i, ()) if k not in skip)
+            number = next((int(d[-1]) for d in digits if d), None)
+            out.append({"pos": len(out), "grp": f"s{b}" if len(boxes) > 1 else None, "id": number, "glyph": glyph if 0 < len(glyph) <= 2 else None, "body": " ".join(body.split())})
+    return out
+
+
+harvest_notes = F.udf(harvest, T.ArrayType(NOTE_ROW), useArrow=True)
