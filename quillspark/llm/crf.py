@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.common import map_blocks
+from quillspark.llm.common import fresh, map_blocks
 from quillspark.llm.textstats import word_stats
 
 #: Labelled documents that the model is fitted on, at most.
@@ -200,17 +200,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows with the double column ``__score``.
+    """The rows with the double column ``__score``, which replaces one of that name.
 
     Null, empty and blank texts have no line and score as a document of mean quality 0;
     equal texts score alike; an empty table gives no rows; ids and other columns, null or
     not, are carried and are no input of the score.
     """
+    held = fresh(docs, "__t")
     carried = [c for c in docs.columns if c != "__score"]
     fields = [f for f in docs.schema.fields if f.name != "__score"]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        split = [lines_of(t) for t in batch.column("__t").to_pylist()]
+        split = [lines_of(t) for t in batch.column(held).to_pylist()]
         first = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         flat = [x for lines in split for x in lines]
         good = model.line_quality(line_features(flat), first)
@@ -218,7 +219,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), pa.array(model.score(mean))], names=[*carried, "__score"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in fields)
-    return map_blocks(docs.select(*carried, F.col(text_col).cast("binary").alias("__t")), run, f"{kinds}__score double", "__t")
+    return map_blocks(docs.select(*carried, F.col(text_col).cast("binary").alias(held)), run, f"{kinds}__score double", held)
 
 
 def keep_good(docs: DataFrame, model: Model, cut: float = PREDICT_FROM) -> DataFrame:

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.common import map_blocks
+from quillspark.llm.common import fresh, map_blocks
 from quillspark.llm.textstats import line_counts, word_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "caps_words", "same_words", "plain_words", "exclaims", "distinct_words", "n_repeat_words", "n_lines", "n_dup_lines")
@@ -26,12 +26,13 @@ BAD, ABSTAIN, GOOD = 0, 1, 2
 
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with their counts in the struct column ``__counts``."""
+    """The rows with their counts in the struct column ``__counts``, which replaces one of that name."""
+    text = fresh(docs, "__t")
     carried = [c for c in docs.columns if c != HELD]
     fields = [f for f in docs.schema.fields if f.name != HELD]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("__t").to_pylist()
+        texts = batch.column(text).to_pylist()
         stats = word_stats(texts)
         lines = np.array([line_counts(t) for t in texts], np.int64).reshape(-1, 2)
         stats["n_lines"], stats["n_dup_lines"] = lines[:, 0], lines[:, 1]
@@ -40,7 +41,7 @@ def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     held = f"{HELD} struct<{','.join(f'{c}:long' for c in COUNTS)}>"
-    return map_blocks(docs.select(*carried, F.col(text_col).cast("binary").alias("__t")), run, f"{kinds}, {held}" if kinds else held, "__t")
+    return map_blocks(docs.select(*carried, F.col(text_col).cast("binary").alias(text)), run, f"{kinds}, {held}" if kinds else held, text)
 
 
 def _c(name: str) -> Column:
@@ -137,7 +138,8 @@ def judge(docs: DataFrame, text_col: str = "text", cut: float = 0.5) -> DataFram
     (posterior of at least ``cut``).
 
     Null and empty texts have counts of zero; equal rows are judged alike; an empty table
-    gives no rows; the other columns, null or not, are carried and not looked at.
+    gives no rows; the other columns, null or not, are carried and not looked at, but for
+    columns named ``__counts`` or ``__verdict``, which are replaced.
     """
     counted = with_counts(docs, text_col)
     good = fit(counted).posterior()
