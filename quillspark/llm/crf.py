@@ -27,7 +27,7 @@ TRAIN_DOCS = 4000
 #: Lines of one training document that are gathered: evenly spaced over the whole text.
 TRAIN_LINES = 400
 PREDICT_FROM = 0.3
-OWN = 11  # features of a line itself
+OWN = 13  # features of a line itself
 
 
 def lines_of(text: bytes | None) -> list[bytes]:
@@ -41,7 +41,9 @@ def line_features(lines: list[bytes]) -> np.ndarray:
     size = s["word_chars"] / n
     out = [
         np.minimum(s["n_symbols"] / n, 2),
+        np.minimum(5 * s["n_symbols"] / n, 1),  # a few are telling already
         s["caps_words"] / n,
+        np.where(n >= 5, np.minimum(3 * s["same_words"] / n, 1), 0),
         np.where(n >= 2, s["same_words"] / n, 0),
         s["plain_words"] / n,
         np.minimum(s["exclaims"] / n, 2),

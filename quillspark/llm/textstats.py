@@ -41,7 +41,7 @@ def repeated_words(words: Words, rolling: Rolling, owner: np.ndarray) -> np.ndar
 
 def word_stats(texts: list[bytes | None], windows: bool = True) -> dict[str, np.ndarray]:
     """Per text: n_words, word_chars, n_symbols, caps_words, same_words (equal to the word
-    before), plain_words (letters but for one mark at most), exclaims, digits, ends (a
+    before), plain_words (letters and digits but for one mark, two beside digits), exclaims, digits, ends (a
     closing mark at the end), distinct_words and, with ``windows``, n_repeat_words."""
     w = Words(texts)
     raw = np.frombuffer(w.buf, np.uint8)
@@ -70,7 +70,8 @@ def word_stats(texts: list[bytes | None], windows: bool = True) -> dict[str, np.
         same[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
         order = np.lexsort((h, owner))
         distinct[order] = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
-    up, low, let = by_word(upper), by_word(lower), by_word(letter)
+    up, low, let, digit = by_word(upper), by_word(lower), by_word(letter), by_word((raw >= 48) & (raw <= 57))
+    marks = w.end - w.start - let - digit
     last = raw[w.end[first[1:][np.diff(first) > 0] - 1] - 1] if n else np.zeros(0, np.uint8)
     ends = np.zeros(first.size - 1, np.int64)
     ends[np.diff(first) > 0] = _among(last, b".!?:;\"')")
@@ -80,7 +81,7 @@ def word_stats(texts: list[bytes | None], windows: bool = True) -> dict[str, np.
         "n_symbols": by_text(_among(raw, SYMBOLS)),
         "caps_words": per_text((up >= 2) & (low == 0)),
         "same_words": per_text(same),
-        "plain_words": per_text((let >= 1) & (w.end - w.start - let <= 1)),
+        "plain_words": per_text((let + digit >= 1) & (marks <= np.where(digit >= 1, 2, 1))),
         "exclaims": by_text(raw == 33),
         "digits": by_text((raw >= 48) & (raw <= 57)),
         "ends": ends,
