@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.bytespans import Words
 from quillspark.llm.common import checkpointed, map_blocks, whole_groups
-from quillspark.llm.components import components
+from quillspark.llm.components import Forest, components
 
 RADIUS = 1
 CODE_BITS = 15
@@ -120,29 +120,6 @@ def _replicas(fps: DataFrame, parts: int, threshold: int) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-class _Forest:
-    """Union-find that tells whether a link joins two trees."""
-
-    def __init__(self):
-        self.up: dict[int, int] = {}
-
-    def find(self, x: int) -> int:
-        up = self.up
-        root = x
-        while (y := up.get(root, root)) != root:
-            root = y
-        while x != root:
-            up[x], x = root, up.get(x, x)
-        return root
-
-    def join(self, x: int, y: int) -> bool:
-        a, b = self.find(x), self.find(y)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def tile_links(probes: np.ndarray, others: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links that span the components of probes x others: at most one for each node."""
     nodes = np.concatenate([probes, others])
@@ -161,7 +138,7 @@ def tile_links(probes: np.ndarray, others: np.ndarray, threshold: int) -> list[t
 
 def small_links(key: np.ndarray, fp: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Links inside runs of equal keys, by comparing rows at every lag; spanning links only."""
-    forest, out = _Forest(), []
+    forest, out = Forest(), []
     live = np.arange(key.size)
     lag = 1
     while live.size:
