@@ -88,6 +88,8 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 #: Ids drawn for each range to find where ranges of even size begin.
 DRAWN = 20
+#: Ranges at most; with more rows they only grow.
+RANGES = 1024
 
 
 def _range_of(value: Column, starts: list) -> Column:
@@ -112,7 +114,7 @@ def with_next(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     (those of least hash).  Neighbours inside a range come from a window over that range,
     neighbours across ranges from a table with one row for each range.
     """
-    width = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = min(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES)
     known = ids.select(id_col).filter(F.col(id_col).isNotNull())
     drawn = sorted(r[0] for r in known.orderBy(F.xxhash64(id_col), id_col).limit(DRAWN * width).collect())
     starts = sorted(set(drawn[DRAWN::DRAWN]))
