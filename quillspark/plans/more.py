@@ -126,3 +126,34 @@ def dry_run_and_apply(spark, sf_dir):
 def note_marker_round_trip(spark, sf_dir):
     src = m.set_field(L("---\ntitle: x[^1]\n---\nbody"), "title", F.concat(F.col("p_name"), F.array_join(t.marks(L("x[^1]")), "")))
     return table(spark, sf_dir, "part").select("p_partkey", m.frontmatter(src)["title"].alias("title"))
+
+
+@register("sql_functions", "M1 M3 M5", """
+SELECT p_partkey, '<h2>'||p_name||'</h2>' AS html, 1.0::DOUBLE AS same, p_size::BIGINT AS blocks FROM part WHERE p_size=1""")
+def sql_functions(spark, sf_dir):
+    from quillspark.functions.registered import register as names
+
+    names(spark)
+    table(spark, sf_dir, "part").createOrReplaceTempView("qs_part")
+    return spark.sql("SELECT p_partkey, qs_render(concat('## ', p_name)).html AS html, qs_similarity(p_name, upper(p_name)) AS same, CAST(size(qs_parse(concat('## ', p_name)).blocks) AS BIGINT) AS blocks FROM qs_part WHERE p_size = 1")
+
+
+@register("trailing_elements", "J31 D12", "SELECT n_nationkey, 'div' AS last_tag, '<div id='||n_nationkey||'>z</div>' AS tail FROM nation")
+def trailing_elements(spark, sf_dir):
+    html = cat("<p>a</p><div id=", s("n_nationkey"), ">z</div>\n")
+    nodes = table(spark, sf_dir, "nation").select("n_nationkey", html.alias("html"), e.html_nodes(html).alias("n"))
+    tops = F.filter("n", lambda x: x["parent"].isNull() & (x["tag"] != "#text"))
+    last = F.try_element_at(tops, L(-1))["tag"]
+    return nodes.select("n_nationkey", last.alias("last_tag"), F.regexp_extract("html", r"(<div\b[^>]*>[^<]*</div>)\s*$", 1).alias("tail"))
+
+
+@register("relink_actions", "E6 B9 J29", """
+SELECT p_partkey, CASE WHEN p_partkey%3=0 THEN 'WRAP' WHEN p_partkey%3=1 THEN 'ANCHOR' ELSE 'REVIEW' END AS action FROM part""")
+def relink_actions(spark, sf_dir):
+    """A bare link gets the title before it wrapped where the title stands there (overlap of 0.55 or more),
+    an anchored one only its target, the others are for review."""
+    k = F.col("p_partkey") % 3
+    line = F.when(k == 0, cat("read ", F.col("p_name"), " https://x.y/1")).when(k == 1, cat("[https://x.y/1|", F.col("p_name"), "]")).otherwise(L("nothing like it https://x.y/1"))
+    before = F.right(F.substring_index(line, "https://", 1), L(160))
+    action = F.when(line.rlike(r"\[https?://[^|\]]+\|"), "ANCHOR").when(t.stem_overlap(F.col("p_name"), before) >= 0.55, "WRAP").otherwise("REVIEW")
+    return table(spark, sf_dir, "part").select("p_partkey", action.alias("action"))

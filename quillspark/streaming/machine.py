@@ -69,3 +69,25 @@ def batch_step(state: dict, outcome: str, now: float, reset: float | None = None
         return state | {"phase": "sleeping", "until": (reset if reset is not None else now + 5 * 3600) + 60}
     stall = 0 if outcome == "ok" else state["stall"] + 1
     return state | {"phase": "stalled" if stall >= MOST else "running", "stall": stall, outcome: state.get(outcome, 0) + 1}
+
+
+def state_stream(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
+    """(key, phase, tries) after each micro-batch in which a key has events, as an update stream.
+
+    The state of a key is its phase, tries and the start of its attempt; it lives in the state store and
+    survives restarts with the query's checkpoint.  A batch's events are taken in order of time.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    key_type = events.schema[key].dataType.simpleString()
+    rows = events.select(F.col(key).alias("key"), F.col(at).cast("double").alias("at"), F.col(kind).alias("kind"))
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], store) -> Iterator[pd.DataFrame]:
+        state = dict(zip(("phase", "tries", "since"), store.get)) if store.exists else None
+        got = pd.concat(list(batches)).sort_values(["at", "kind"])
+        for when, what in zip(got["at"], got["kind"]):
+            state = step(state or start(when), when, what)
+        store.update((state["phase"], int(state["tries"]), float(state["since"])))
+        yield pd.DataFrame({key: [k[0]], "phase": [state["phase"]], "tries": [state["tries"]]})
+
+    return rows.groupBy("key").applyInPandasWithState(run, f"{key} {key_type}, phase string, tries long", "phase string, tries long, since double", "update", GroupStateTimeout.NoTimeout)

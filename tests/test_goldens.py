@@ -132,3 +132,18 @@ def test_null_and_empty_text(spark):
     rows = spark.createDataFrame([(None,), ("",), ("\r\n",)], "s string")
     got = rows.select(text.slug(F.col("s")), text.caps_ratio(F.col("s")), text.newlines(F.col("s")), dates.first_date(F.col("s")), m.frontmatter(F.col("s")), m.parse_document(F.col("s"))).collect()
     assert len(got) == 3 and got[1][0] == "section" and got[2][2] == "\n"
+
+
+def test_state_stream_equals_replay(spark, tmp_path):
+    rows = [(1, 0.0, "poll"), (1, 10.0, "live"), (2, 0.0, "poll"), (2, 50.0, "failed"), (3, 0.0, "poll")]
+    later = [(2, 210.0, "poll"), (2, 220.0, "dismiss"), (3, 100.0, "poll")]
+    schema = "id int, at_s double, kind string"
+    for part in (rows, later):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = machine.state_stream(stream, "id", "at_s", "kind")
+    query = out.writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    batch = {r.id: (r.phase, r.tries) for r in machine.replay_all(spark.createDataFrame(rows + later, schema), "id", "at_s", "kind").collect()}
+    seen = [(r.id, (r.phase, r.tries)) for r in spark.table("states").collect()]
+    assert all((k, v) in seen for k, v in batch.items())
