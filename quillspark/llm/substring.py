@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quillspark.llm.bytespans import Rolling, Words
-from quillspark.llm.common import map_blocks, whole_groups
+from quillspark.llm.common import fresh, map_blocks, whole_groups
 
 #: Words of the parts whose least hash names a path.
 GRAM = 8
@@ -71,30 +71,30 @@ class _Paths:
         return begins, sizes, least[begins], whole
 
 
-def _paths(table: DataFrame, window: int) -> DataFrame:
+def _paths(table: DataFrame, window: int, key: str, held: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        p = _Paths(batch.column("__t").to_pylist(), window)
+        p = _Paths(batch.column(held).to_pylist(), window)
         begins, sizes, least, whole = p.compact()
         if not begins.size:
             return None
         doc = p.doc[begins]
-        rows = batch.column("__rid").to_numpy(zero_copy_only=False)[doc]
+        rows = batch.column(key).to_numpy(zero_copy_only=False)[doc]
         first = p.at[begins] - p.words.first[doc]
         columns = (least.view(np.int64), whole.view(np.int64), rows, first.astype(np.int32), sizes.astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["least", "whole", "rid", "first", "n"])
 
-    return map_blocks(table, run, "least long, whole long, rid long, first int, n int", "__t")
+    return map_blocks(table, run, "least long, whole long, rid long, first int, n int", held)
 
 
-def _opened(table: DataFrame, window: int) -> DataFrame:
+def _opened(table: DataFrame, window: int, key: str, held: str, opened: str) -> DataFrame:
     """The edges of the paths that branch, as (least, part, rid, first, at, edges)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        p = _Paths(batch.column("__t").to_pylist(), window)
+        p = _Paths(batch.column(held).to_pylist(), window)
         edges = p.edges()
         offset = np.searchsorted(p.at, p.words.first[:-1])  # first window of each document
         out: list[tuple] = []
-        for d, (rid, paths) in enumerate(zip(batch.column("__rid").to_pylist(), batch.column("paths").to_pylist())):
+        for d, (rid, paths) in enumerate(zip(batch.column(key).to_pylist(), batch.column(opened).to_pylist())):
             for x in paths:
                 a = offset[d] + x["first"]
                 mine = edges[a : a + x["n"]]
@@ -110,7 +110,7 @@ def _opened(table: DataFrame, window: int) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["least", "part", "rid", "first", "at", "edges"])
 
-    return map_blocks(table, run, "least long, part int, rid long, first int, at binary, edges binary", "__t")
+    return map_blocks(table, run, "least long, part int, rid long, first int, at binary, edges binary", held)
 
 
 def _repeated(opened: DataFrame, width: int) -> DataFrame:
@@ -163,28 +163,28 @@ def remove_repeats(docs: DataFrame, window: int = 35, joined: bool = False, text
 
     Null and empty texts have no words and become empty; texts of fewer words keep all;
     equal rows repeat each other; ids and other columns are carried and not looked at; an
-    empty table gives no rows.  Columns named __rid, __t, n_words, n_removed or removed are
-    replaced.
+    empty table gives no rows.  Columns named n_words, n_removed or removed are replaced.
     """
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    carried = [c for c in docs.columns if c not in ("__rid", "__t", "n_words", "n_removed", "removed")]
+    carried = [c for c in docs.columns if c not in ("n_words", "n_removed", "removed")]
+    key, held, marked, opened = (fresh(docs, name) for name in ("__rid", "__t", "__marks", "__paths"))
     others = [c for c in carried if c != text_col]
-    table = docs.select(*others, F.col(text_col).cast("binary").alias("__t"), F.monotonically_increasing_id().alias("__rid"))
-    table = table.repartition(width, "__rid")  # one exchange of the texts; the three passes reuse it
+    table = docs.select(*others, F.col(text_col).cast("binary").alias(held), F.monotonically_increasing_id().alias(key))
+    table = table.repartition(width, key)  # one exchange of the texts; the three passes reuse it
 
-    paths = _paths(table, window)
+    paths = _paths(table, window, key, held)
     known = paths.groupBy("least").agg(F.count("*").alias("c"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("c > 1")
     found = paths.join(known, "least").select("rid", "least", "first", "n", "c", (F.col("lo") != F.col("hi")).alias("branches"))
 
     parts = F.ceil(F.col("c") / PATHS_A_TASK).cast("int").alias("parts")
-    branching = found.filter("branches").groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("least", "first", "n", parts)).alias("paths"))
-    edges = _repeated(_opened(table.join(branching, "__rid"), window), width)
+    branching = found.filter("branches").groupBy(F.col("rid").alias(key)).agg(F.collect_list(F.struct("least", "first", "n", parts)).alias(opened))
+    edges = _repeated(_opened(table.join(branching, key), window, key, held, opened), width)
     single = edges.select("rid", F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("n"), "at")
     whole = found.filter("not branches").select("rid", "first", "n", F.lit(None).cast("array<int>").alias("at"))
-    marks = whole.unionByName(single).groupBy(F.col("rid").alias("__rid")).agg(F.collect_list(F.struct("first", "n", "at")).alias("__marks"))
+    marks = whole.unionByName(single).groupBy(F.col("rid").alias(key)).agg(F.collect_list(F.struct("first", "n", "at")).alias(marked))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column("__t").to_pylist()
+        texts = batch.column(held).to_pylist()
         p = _Paths(texts, window)
         edge = p.edges()
         order = np.lexsort((edge, p.doc))
@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, joined: bool = False, text
         step = np.zeros(p.words.start.size + 1, np.int64)  # +1 where cover begins, -1 where it ends
         np.add.at(step, p.at[twice], 1)
         np.add.at(step, p.at[twice] + window, -1)
-        for d, marks_of in enumerate(batch.column("__marks").to_pylist()):
+        for d, marks_of in enumerate(batch.column(marked).to_pylist()):
             base = p.words.first[d]
             for x in marks_of or ():
                 if x["at"] is None:
@@ -226,6 +226,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, joined: bool = False, text
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in table.schema.fields if f.name in others)
     done = map_blocks(
-        table.join(marks, "__rid", "left"), run, f"{kinds}`{text_col}` string, n_words long, n_removed long, removed array<struct<first:int,n:int>>", "__t"
+        table.join(marks, key, "left"), run, f"{kinds}`{text_col}` string, n_words long, n_removed long, removed array<struct<first:int,n:int>>", held
     )
     return done.select(*carried, "n_words", "n_removed", "removed")

@@ -188,3 +188,36 @@ def test_pipeline_is_its_stages(spark):
     good = [i for i in labels if labels[i] == 1]
     assert sum(i in kept for i in good) >= 0.8 * len(good)  # copies go, clean documents stay
     assert not [i for i in labels if labels[i] == 0 and i in kept][2:]
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __t int, __rid string, tile int"
+    words = " ".join(f"Wort{i}" for i in range(60))
+    rows = [
+        (1, None, None, None, None, None, None, None), (2, "", "en", "s", 0, 1, "r", 2), (None, f"Ein Satz. {words}.", "de", "s", 9, None, None, None), (3, f"Noch ein Satz. {words}.", "de", None, 9, 1, "x", 1),
+        (3, f"Noch ein Satz. {words}.", "de", None, 9, 1, "x", 1), (4, "Das ist gut.\n" * 3000, "de", "s", 39000, 0, "", 0), (5, "The end of it is here and there.", "en", "s", 32, 3, "y", 3),
+    ]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    for docs in (odd, odd.filter("false")):
+        for name, stage in cp.STAGES:
+            out = stage(spark, docs, SF)
+            n = out.count()
+            assert n <= docs.count() or name == "best_fit_packing"
+            if name == "substring_dedup":
+                assert n == docs.count()
+            if name != "best_fit_packing":
+                assert set(out.columns) >= {"doc_id", "text", "lang", "source", "n_chars"}
+    kept = cp.near_dedup(spark, odd, SF).select("doc_id").collect()
+    assert sorted((r.doc_id or 0) for r in kept).count(3) <= 1
+
+
+def test_conversation_rows_in_any_order(spark):
+    rows = [(1, 1, "assistant", None), (1, 0, "user", "a"), (None, None, None, None), (1, 1, "assistant", None), (2, None, "user", "x"), (2, 0, None, "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = {r.conv_id: r for r in chat.format_chat(chat.conversations_as_records(df), ["messages"]).collect()}
+    assert [(t.role, t.text) for t in got[1].turns] == [("user", "a"), ("assistant", ""), ("assistant", "")]
+    assert [(t.role, t.text) for t in got[2].turns] == [("user", "x"), ("", "y")] and len(got[None].turns) == 1
+    assert chat.format_chat(chat.conversations_as_records(df.filter("false")), ["messages"]).count() == 0
