@@ -74,6 +74,7 @@ def url_https(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.trim(url), "/+$", ""), "(?i)^http://", "https://")
 
 
+#: A note marker (fixed pattern of the markup).
 _MARKS = r"\[\^[^\]]+\]"
 
 
@@ -133,6 +134,7 @@ def soft_truncate(s: Column, most: int = 160, slack: int = 10) -> Column:
     return F.when(F.length(s) > most + slack, F.regexp_replace(cut, "[ ,.;—-]+$", "")).otherwise(s)
 
 
+#: Words after which a double colon is a colon (fixed values).
 _COLON_WORDS = "См\\.\\s*также|Цитата|Музыка|Источник|Автор|Примечание|Дополнение|Параллели|Заповедь|Том|Глава|Книга|Сноска"
 
 

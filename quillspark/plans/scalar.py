@@ -228,6 +228,7 @@ def identifier_checks(spark, sf_dir):
 
 
 _SLOTS = """(VALUES (1,'▶ YouTube'),(2,'https://youtu.be/abcdefghijk'),(3,'abcdefghij1'),(4,'Music — Artist'),(5,'трек под настроение'),(6,''),(7,'слушать онлайн'),(8,'Музыка в тему (live)')) AS t(id, slot)"""
+#: Captions that stand in for a title (fixed pattern).
 _PLACE = "(трек под настроени[ея]|музыка( в тему| под настроени[ея]| в теме)?|видео([- ]?пандан| к части| в тему)?|под настроение|слушать(\\s+(на|онлайн))?|смотреть(\\s+(на|онлайн))?|в тему)(\\s*[(][^)]*[)])?"
 
 
