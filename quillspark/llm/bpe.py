@@ -44,6 +44,37 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+#: Lower-case forms that the library knows of characters that Python's tables don't have (fixed values).
+LATER_LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LATER_LOWER |= {c: c + 32 for c in range(0x10D50, 0x10D66)} | {c: c + 27 for c in range(0x16EA0, 0x16EB9)}
+#: A private character, which is neither letter nor number nor space.
+STAND_IN = "\ue000"
+
+
+def later_letters() -> regex.Pattern:
+    """Letters and numbers of the ``regex`` module that the library's older tables don't have; to it
+    they are symbols.  Only characters that Python's tables lack too are asked about."""
+    from tokenizers import Regex, pre_tokenizers
+
+    free = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    asked = regex.findall(r"[\p{L}\p{N}]", free)
+    classes = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), behavior="removed", invert=True)
+    known = {piece for piece, _ in classes.pre_tokenize_str("".join(asked))}
+    ranges: list[list[int]] = []
+    for c in (ord(c) for c in asked if c not in known):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + STAND_IN + "]")
+
+
+#: Characters of LATER_LOWER; and what lies beyond them all, later letters and the stand-in:
+#: no later letter and no stand-in lies below this (U+0558); texts below it need no closer look.
+_RAISED = regex.compile("[" + "".join(map(chr, LATER_LOWER)) + "]")
+_BEYOND = regex.compile("[^\x00-\u0557]")
+
+
 class Memory(dict):
     """A bounded memo in two generations: what was used lately survives."""
 
@@ -95,6 +126,7 @@ class Model:
         for made, (left, right) in self.parts.items():
             self.symbols[made] = self.symbols[left] + self.symbols[right]
         self.longest = max(map(len, self.symbols.values()))
+        self.later = later_letters()
         self.pairs: dict[int, bool] = {}
         self.trie: dict = {}  # symbols from a token's end backwards; at -1 the token, or -1
         for token, symbols in self.symbols.items():
@@ -145,6 +177,13 @@ class Model:
             text = unicodedata.normalize("NFC", text)
         if self.lower:
             text = text.replace("Σ", "σ").lower()  # by character: no final form of sigma
+        if _BEYOND.search(text):
+            if self.lower and _RAISED.search(text):
+                text = text.translate(LATER_LOWER)
+            if self.later.search(text):
+                kept = iter(self.later.findall(text))  # each is a symbol: found as a stand-in, then put back
+                found = self.words.findall(self.later.sub(STAND_IN, text))
+                return [w if STAND_IN not in w else "".join(next(kept) if c == STAND_IN else c for c in w) for w in found]
         return self.words.findall(text)
 
     def start(self, word: str) -> list[int]:

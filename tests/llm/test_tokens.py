@@ -109,9 +109,8 @@ def test_pack_is_whole_and_near_the_bound(sizes):
 
 
 def test_local_search_empties_a_bin():
-    # best fit decreasing leaves three bins; one exchange brings it to two
-    sizes = [6, 5, 4, 3, 1, 1]
-    assert len(packing.pack(sizes, 10)) == 2
+    # best fit decreasing leaves 4+4, 3+3+3 and 3; a one-for-one exchange, then a move, empty the last
+    assert len(packing.pack([4, 4, 3, 3, 3, 3], 10)) == 2
 
 
 def test_words_are_remembered_in_two_generations():
@@ -129,3 +128,9 @@ def test_two_merges_of_one_token_are_refused():
     spec["model"]["merges"] = [*spec["model"]["merges"], spec["model"]["merges"][0]]
     with pytest.raises(ValueError):
         bpe.Model(json.dumps(spec))
+
+
+def test_every_character_beside_words():
+    for a in range(0, 0x110000, 64):
+        text = "".join(f"x{chr(c)}!{chr(c)}" for c in range(a, a + 64, 7) if not 0xD800 <= c < 0xE000)
+        assert mine(text) == LIBRARY.encode(text, add_special_tokens=False).ids
