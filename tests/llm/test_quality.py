@@ -221,3 +221,10 @@ def test_conversation_rows_in_any_order(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "a"), ("assistant", ""), ("assistant", "")]
     assert [(t.role, t.text) for t in got[2].turns] == [("user", "x"), ("", "y")] and len(got[None].turns) == 1
     assert chat.format_chat(chat.conversations_as_records(df.filter("false")), ["messages"]).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(q.oracle_sql()))
+def test_oracle_sql(spark, name):
+    from tests.compare import compare
+
+    assert compare(spark, SF, q.queries()[name], q.oracle_sql()[name]) is None
