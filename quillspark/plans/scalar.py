@@ -312,7 +312,7 @@ def date_lines(spark, sf_dir):
 
 @register("expired_tokens", "K9", "SELECT event_id, floor(epoch(ts)) < 1705000000 AS expired, floor(epoch(ts)) < 1705000300 AS soon FROM events")
 def expired_tokens(spark, sf_dir):
-    s = F.unix_timestamp("ts")
+    s = F.timestamp_diff("SECOND", L("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts")  # as written, whatever the session's zone
     return table(spark, sf_dir, "events").select("event_id", d.expired(s, L(1705000000)).alias("expired"), d.expired(s, L(1705000000), 300).alias("soon"))
 
 
