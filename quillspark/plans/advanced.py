@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.functions import text as t
 from quillspark.operators import convert, edits as e, similarity as sim, verse
 from quillspark.plans.registry import register
 from quillspark.sources import files
