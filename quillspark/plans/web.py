@@ -125,9 +125,9 @@ def bm25(docs, queries, k1: float = 1.2, b: float = 0.75, top: int = 10, boosts:
     asked = queries.select("qid", F.explode(F.split("query", " ")).alias("term")).distinct()
     sizes = docs.select("doc_id", F.size(F.regexp_extract_all(F.lower("text"), L("[a-zà-ÿ0-9]+"), L(0))).alias("size"))
     totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))  # one row
-    tf = words.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    rows = tf.join(df, "term").join(sizes, "doc_id").crossJoin(F.broadcast(totals)).join(F.broadcast(asked), "term")
+    rows = tf.join(df, "term").join(sizes, "doc_id").crossJoin(F.broadcast(totals)).join(asked, "term")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = L(1.0)
     for term, value in (boosts or {}).items():
