@@ -116,6 +116,19 @@ def test_keep_one_of_each_group(spark, monkeypatch, tmp_path, tile):
     assert {r.doc_id for r in kept.collect()} == set(roots)
 
 
+def kept_ids(spark, path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path))
+    return {r.doc_id for r in neardup.keep_one(spark.read.parquet(str(path))).collect()}
+
+
+def test_a_hot_line_makes_no_duplicates(spark, tmp_path):
+    rng = random.Random(5)
+    line = " ".join(f"hot{i}" for i in range(13))
+    texts = [" ".join([line] * 40 + [f"b{rng.randrange(10**6)}" for _ in range(100)]) for _ in range(20)]
+    assert all(jaccard(texts[0], t) < 0.3 for t in texts[1:])
+    assert kept_ids(spark, tmp_path / "d", texts) == set(range(20))
+
+
 def test_near_duplicate_edge_tables(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
