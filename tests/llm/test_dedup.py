@@ -129,6 +129,16 @@ def test_a_hot_line_makes_no_duplicates(spark, tmp_path):
     assert kept_ids(spark, tmp_path / "d", texts) == set(range(20))
 
 
+def test_repeats_inside_a_text_hide_no_copy(spark, tmp_path):
+    rng = random.Random(6)
+    texts = []
+    for k in range(40):
+        base = [f"r{rng.randrange(10**6)}" for _ in range(104)]
+        texts += [" ".join(base), " ".join(base + base[:14] * 20)]
+    assert min(jaccard(a, b) for a, b in zip(texts[::2], texts[1::2])) >= 0.8
+    assert kept_ids(spark, tmp_path / "d", texts) == set(range(0, 80, 2))
+
+
 def test_near_duplicate_edge_tables(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
