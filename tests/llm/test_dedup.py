@@ -139,6 +139,16 @@ def test_repeats_inside_a_text_hide_no_copy(spark, tmp_path):
     assert kept_ids(spark, tmp_path / "d", texts) == set(range(0, 80, 2))
 
 
+def test_pairs_at_the_threshold(spark, tmp_path):
+    rng = random.Random(7)
+    texts = []
+    for n in [9] * 150 + [19] * 50 + [94] * 150:
+        base = [f"s{rng.randrange(10**7)}" for _ in range(n)]
+        texts += [" ".join(base), " ".join(base[: n - (n - 4) // 5])]
+    assert all(abs(jaccard(a, b) - 0.8) < 1e-9 for a, b in zip(texts[::2], texts[1::2]))
+    assert kept_ids(spark, tmp_path / "d", texts) == set(range(0, 700, 2))
+
+
 def test_near_duplicate_edge_tables(spark, tmp_path):
     docs = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (8, None)], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "d"))
