@@ -3,7 +3,8 @@
 Templates are cut into words; of their hashed GRAM-word parts, winnowing keeps the least
 of every WINDOW neighbours.  The kept hashes form an inverted index (hash to template and
 place), of a size set by the templates alone.  All parts of a text are looked up, so
-GRAM + WINDOW - 1 words in a row that agree with a template are enough to find it.  Each
+GRAM + WINDOW - 1 words in a row that agree with a template are enough to find it.  Of
+templates of at most SHORT words all two-word parts are kept, so two words do.  Each
 region found is aligned with its template (match 2, mismatch and gap -1, within BAND of
 the diagonal); the share of template words matched is the coverage.
 """
@@ -25,6 +26,8 @@ GRAM = 3
 WINDOW = 2
 BAND = 8
 LEAST = 0.8
+#: Words of the longest template with which a coverage of LEAST may leave fewer than GRAM + WINDOW - 1 words in a row.
+SHORT = 15
 #: ASCII letters and digits and all bytes of other characters make words; the rest is space.
 _FOLD = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -46,10 +49,15 @@ class Index:
     def __init__(self, templates: Mapping[str, str]):
         self.names = list(templates)
         self.words = [fold(t.encode()).split() for t in templates.values()]
+        self.grams: set[int] = set()  # sizes of the parts
         found: list[tuple[int, int, int]] = []
         for k, words in enumerate(self.words):
-            grams = Parts([b" ".join(words)])
-            found += [(int(grams.hashes[at]), k, at) for at in winnow(grams.hashes)]
+            gram = min(2, len(words)) if len(words) <= SHORT else GRAM
+            whole = Words([b" ".join(words)])
+            hashes = Parts(whole, Rolling(whole.hashes()), gram).hashes
+            places = range(hashes.size) if len(words) <= SHORT else winnow(hashes)
+            found += [(int(hashes[at]), k, at) for at in places]
+            self.grams.add(gram)
         found.sort()
         self.hashes = np.array([f[0] for f in found], np.uint64)
         self.places = [(f[1], f[2]) for f in found]
@@ -67,23 +75,24 @@ class Index:
 
 
 class Parts:
-    """The GRAM-word parts of folded texts."""
+    """The parts of ``gram`` words of folded texts."""
 
-    def __init__(self, folded: list[bytes]):
-        self.words = w = Words(folded)
-        index = np.arange(w.start.size)
-        self.at = index[index + GRAM <= w.limit]
-        self.hashes = Rolling(w.hashes()).windows(self.at, np.full(self.at.size, GRAM))
+    def __init__(self, words: Words, rolling: Rolling, gram: int):
+        index = np.arange(words.start.size)
+        self.at = index[index + gram <= words.limit]
+        self.hashes = rolling.windows(self.at, np.full(self.at.size, gram))
 
 
-def align(template: list[bytes], words: list[bytes], diagonal: int) -> tuple[int, int, int, int]:
+def align(template: list[bytes], words: list[bytes | None], diagonal: int) -> tuple[int, int, int, int]:
     """(score, matched words, first word, end word) of the best local alignment of the template with
-    ``words``, where template word i stands near word i + diagonal."""
+    ``words``, where template word i stands near word i + diagonal.  None is a word that no alignment crosses."""
     best = (0, 0, 0, 0)
     above: dict[int, tuple[int, int, int]] = {}  # word -> (score, matched, first word)
     for i, t in enumerate(template):
         row: dict[int, tuple[int, int, int]] = {}
         for j in range(max(0, i + diagonal - BAND), min(len(words), i + diagonal + BAND + 1)):
+            if words[j] is None:
+                continue
             s, m, f = above.get(j - 1, (0, 0, j))
             same = t == words[j]
             cell = (s + 2, m + 1, f) if same else (s - 1, m, f)
@@ -111,14 +120,23 @@ def matches(index: Index, words: list[bytes], hits: list[tuple[int, int]], least
     found = []
     for k, diagonals in regions.items():
         template = index.words[k]
-        last = None
-        for d in sorted(diagonals):
-            if last is not None and d - last <= BAND // 2:
-                continue  # the band of the last alignment holds this one
-            last = d
-            _, m, a, b = align(template, words, d)
-            if m >= least * len(template):
-                found.append((index.names[k], m, a, b, m / len(template)))
+        left: list[bytes | None] = list(words)
+        while diagonals:
+            # a neighbouring copy may hide another in the same band, so asked again without what is found
+            best, again, last = [], [], None
+            for d in sorted(set(diagonals)):
+                if len(template) > SHORT and last is not None and d - last <= BAND // 2:
+                    continue  # the band of the last alignment holds this one
+                last = d
+                _, m, a, b = align(template, left, d)
+                if m and m >= least * len(template):
+                    best.append((m, a, b))
+                    again.append(d)
+            for m, a, b in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
+                if None not in left[a:b]:
+                    found.append((index.names[k], m, a, b, m / len(template)))
+                    left[a:b] = [None] * (b - a)
+            diagonals = again
     found.sort(key=lambda x: (-x[1], -x[4], x[2], x[0]))
     kept: list[tuple] = []
     for x in found:
@@ -142,16 +160,19 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
         index = held[0]
         texts = batch.column("t").to_pylist()
         folded = [fold(t) for t in texts]
-        parts = Parts(folded)
-        hit = np.flatnonzero(index.lookup(parts.hashes))
-        if not hit.size:
+        held_words = Words(folded)
+        rolling = Rolling(held_words.hashes())
+        parts = [Parts(held_words, rolling, gram) for gram in sorted(index.grams)]
+        hit = [np.flatnonzero(index.lookup(p.hashes)) for p in parts]
+        if not any(h.size for h in hit):
             return None
-        at = parts.at[hit]
-        doc = np.searchsorted(parts.words.first, at, "right") - 1
+        at = np.concatenate([p.at[h] for p, h in zip(parts, hit)])
+        hashes = np.concatenate([p.hashes[h] for p, h in zip(parts, hit)])
+        doc = np.searchsorted(held_words.first, at, "right") - 1
         out: list[tuple] = []
         for d in np.unique(doc):
             mine = doc == d
-            hits = list(zip((at[mine] - parts.words.first[d]).tolist(), parts.hashes[hit[mine]].tolist()))
+            hits = list(zip((at[mine] - held_words.first[d]).tolist(), hashes[mine].tolist()))
             places = [m.span() for m in _WORD.finditer(folded[d])]
             words = [folded[d][a:b] for a, b in places]
             for name, m, a, b, coverage in matches(index, words, hits, least):

@@ -158,6 +158,25 @@ def test_license_spans(spark):
     assert licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}).count() == 0
 
 
+def test_every_copy_of_a_short_statement_is_found(spark):
+    short = ["mit-statement", "apache-2.0-statement", "cc-by-nc-4.0-statement", "gpl-3.0-statement"]
+    rows, want = [], []
+    for name in short:
+        words = TEMPLATES[name].split()
+        for n in (1, 2, 3, 7):
+            rows.append((len(rows), " ".join([TEMPLATES[name]] * n)))
+            want.append((name, n))
+        changed = " ".join([*words[: len(words) // 2], "zzz", *words[len(words) // 2 + 1 :]])
+        for text, n in ((changed, 1), (f"{TEMPLATES[name]} {changed} {TEMPLATES[name]}", 3), (f"{changed} {changed}", 2)):
+            rows.append((len(rows), text))
+            want.append((name, n))
+    got = [[] for _ in rows]
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].append(r)
+    for found, (name, n), (_, text) in zip(got, want, rows):
+        assert [r.license for r in found] == [name] * n, text
+
+
 def test_every_statement_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sum(sum(r.text.count(TEMPLATES[n]) for n in TEMPLATES if n.endswith("statement")) for r in docs.collect())
