@@ -2,7 +2,8 @@
 
 Records come in many layouts (prompt and response, instruction with input and output,
 message lists under several names).  A layout is known by its fingerprint: the hash of
-the sorted nested field paths that a record fills.  Each mapping declares its paths and,
+the sorted nested field paths that a record fills (of lists, the fields that some element
+fills; OPTIONAL ones don't count).  Each mapping declares its paths and,
 for each turn it makes, where role and text come from; the fingerprint of a record picks
 its mapping.  Everything is DataFrame expressions.
 
@@ -46,6 +47,8 @@ class Fixed:
         return self.fields
 
 
+#: Fields of list elements that may be filled in every layout and make no turn.
+OPTIONAL = {"name", "weight"}
 #: The layouts: each mapping makes its turns in this order.
 MAPPINGS: dict[str, tuple[ListOf | Fixed, ...]] = {
     "messages": (ListOf("messages", "role", "content"),),
@@ -58,6 +61,7 @@ MAPPINGS: dict[str, tuple[ListOf | Fixed, ...]] = {
     "question_answer": (Fixed("user", ("question",)), Fixed("assistant", ("answer",))),
     "instruction_output": (Fixed("user", ("instruction",)), Fixed("assistant", ("output",))),
     "instruction_input_output": (Fixed("user", ("instruction", "input")), Fixed("assistant", ("output",))),
+    "data_prompt_response": (Fixed("user", ("data.prompt",)), Fixed("assistant", ("data.response",))),
 }
 #: Names of roles in other layouts.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
@@ -72,19 +76,48 @@ def mapping_fingerprints() -> dict[str, str]:
     return {fingerprint_of([p for s in sources for p in s.paths()]): name for name, sources in MAPPINGS.items()}
 
 
+def _layouts() -> list[tuple[str, str]]:
+    """(fingerprint, mapping): of full records, then of records with a list that fills less:
+    an empty one, or one without any role or any text."""
+    out = [(code, name) for code, name in mapping_fingerprints().items()]
+    for name, sources in MAPPINGS.items():
+        fixed = [p for s in sources if isinstance(s, Fixed) for p in s.paths()]
+        for s in sources:
+            if isinstance(s, ListOf):
+                first, role, text = s.paths()
+                out += [(fingerprint_of([*fixed, *some]), name) for some in ((first,), (first, role), (first, text))]
+    return out
+
+
+def _field(path: str) -> Column:
+    return F.col(".".join(f"`{p}`" for p in path.split(".")))
+
+
+def _kind(schema: T.StructType, path: str) -> T.DataType | None:
+    """The type at a path of nested structs; None if there is none."""
+    kind: T.DataType | None = schema
+    for name in path.split("."):
+        kind = next((f.dataType for f in kind.fields if f.name == name), None) if isinstance(kind, T.StructType) else None
+    return kind
+
+
+def _filled(path: str, here: Column, kind: T.DataType) -> list[Column]:
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in _filled(f"{path}.{f.name}", here[f.name], f.dataType)]
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        inner = [f.name for f in kind.elementType.fields if f.name not in OPTIONAL]
+        some = lambda name: F.exists(here, lambda x: x[name].isNotNull())
+        return [F.when(here.isNotNull(), F.lit(f"{path}[]")), *(F.when(some(name), F.lit(f"{path}[].{name}")) for name in inner)]
+    return [F.when(here.isNotNull(), F.lit(path))]
+
+
 def fingerprint(schema: T.StructType, columns: list[str]) -> Column:
     """The fingerprint of each row over the given columns: the paths that it fills.
 
-    A column that is null fills nothing; a list fills its own path and those of its elements' fields.
+    A column that is null fills nothing; a list fills its own path and those of the fields that some
+    element fills; a struct fills what its fields fill.
     """
-    paths = []
-    for name in columns:
-        kind, here = schema[name].dataType, F.col(f"`{name}`")
-        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            inner = [f"{name}[]"] + [f"{name}[].{f.name}" for f in kind.elementType.fields]
-            paths += [F.when(here.isNotNull(), F.lit(p)) for p in inner]
-        else:
-            paths.append(F.when(here.isNotNull(), F.lit(name)))
+    paths = [p for name in columns for p in _filled(name, F.col(f"`{name}`"), schema[name].dataType)]
     filled = F.array_sort(F.array_compact(F.array(*paths))) if paths else F.array().cast("array<string>")
     return F.substring(F.sha2(F.concat_ws("\n", filled), 256), 1, 16)
 
@@ -99,10 +132,10 @@ def _canonical_role(role: Column) -> Column:
 
 def _turns(source: ListOf | Fixed) -> Column:
     if isinstance(source, Fixed):
-        text = F.array_join(F.filter(F.array(*(F.col(f"`{f}`") for f in source.fields)), lambda x: F.length(x) > 0), "\n\n")
+        text = F.array_join(F.filter(F.array(*(_field(f) for f in source.fields)), lambda x: F.length(x) > 0), "\n\n")
         return F.array(F.struct(F.lit(source.role).alias("role"), text.alias("text")))
     one = lambda x: F.struct(_canonical_role(x[source.role]).alias("role"), F.coalesce(x[source.text], F.lit("")).alias("text"))
-    return F.transform(F.col(f"`{source.path}`"), one)
+    return F.transform(_field(source.path), one)
 
 
 def canonical(records: DataFrame, columns: list[str], turns: str = "turns") -> DataFrame:
@@ -114,13 +147,13 @@ def canonical(records: DataFrame, columns: list[str], turns: str = "turns") -> D
     """
     known = records.withColumn("fingerprint", fingerprint(records.schema, columns))
     layout, out = F.lit(None).cast("string"), F.lit(None).cast(TURN_TYPE)
-    for code, name in mapping_fingerprints().items():
+    for code, name in reversed(_layouts()):
         sources = MAPPINGS[name]
-        if not all(p.split("[]")[0] in columns for s in sources for p in s.paths()):
+        if not all(p.split("[]")[0].split(".")[0] in columns and _kind(records.schema, p.split("[]")[0]) for s in sources for p in s.paths()):
             continue
         fits = all(
             not isinstance(s, ListOf)
-            or (isinstance(kind := records.schema[s.path].dataType, T.ArrayType) and {s.role, s.text} <= {f.name for f in getattr(kind.elementType, "fields", ())})
+            or (isinstance(kind := _kind(records.schema, s.path), T.ArrayType) and {s.role, s.text} <= {f.name for f in getattr(kind.elementType, "fields", ())})
             for s in sources
         )
         if fits:

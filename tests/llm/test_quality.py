@@ -28,6 +28,22 @@ def test_layouts_are_known_by_fingerprint(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [("user", "h"), ("assistant", "")] and got[2].formatted == "" and got[3].layout is None
 
 
+def test_layouts_that_share_a_table(spark):
+    kind = "id int, messages array<struct<role:string,content:string,text:string,name:string,weight:int>>, data struct<prompt:string,response:string>"
+    rows = [
+        (1, [("user", "a", None, None, None), ("assistant", "b", None, "n", 1)], None),
+        (2, [("user", None, "c", None, None), ("assistant", None, None, None, 0)], None),
+        (3, None, ("p", "r")),
+        (4, [("user", "a", "c", None, None)], None),
+        (5, [("user", None, None, None, None)], None),
+    ]
+    df = spark.createDataFrame(rows, kind)
+    got = {r.id: r for r in chat.format_chat(df, df.columns[1:]).collect()}
+    assert [got[i].layout for i in range(1, 5)] == ["messages", "messages_text", "data_prompt_response", None]
+    turns = {i: [(t.role, t.text) for t in got[i].turns] for i in (1, 2, 3, 5)}
+    assert turns == {1: [("user", "a"), ("assistant", "b")], 2: [("user", "c"), ("assistant", "")], 3: [("user", "p"), ("assistant", "r")], 5: [("user", "")]}
+
+
 def test_any_text_comes_back(spark):
     rng = random.Random(2)
     bits = ["<", "|", "\\", "<|turn|>", "<|end|>\n", "<|text|>", "x", "</s>", "\n", "é🙂", "$1"]
