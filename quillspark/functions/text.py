@@ -145,7 +145,7 @@ def double_colon(s: Column) -> Column:
 
 
 def base64_url(s: Column) -> Column:
-    return F.rtrim(F.translate(F.base64(F.encode(s, "UTF-8")), "+/", "-_"), F.lit("="))
+    return F.rtrim(F.translate(F.base64(F.encode(s, "UTF-8")), "+/\r\n", "-_"), F.lit("="))
 
 
 def from_base64_url(s: Column) -> Column:

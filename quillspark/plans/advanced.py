@@ -32,6 +32,11 @@ def strip_combining_marks(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("lang in ('fr','es')").select("doc_id", F.md5(sim.folded(F.left("text", L(200)))).alias("folded"))
 
 
+@register("strip_combining_marks_whole", "J13", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
+def strip_combining_marks_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(sim.folded("text")).alias("folded"))
+
+
 @register("slot_canonicalisation", "E9 F20 J14", """
 SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'SWAP' WHEN 2 THEN 'FILL' WHEN 3 THEN 'FILLBOTH' ELSE 'NODB' END AS action, CASE WHEN p_partkey%2=0 THEN 'keep' ELSE 'swap' END AS split FROM part""")
 def slot_canonicalisation(spark, sf_dir):
@@ -46,8 +51,8 @@ def slot_canonicalisation(spark, sf_dir):
 SELECT item_id, CASE WHEN item_id%4=0 THEN 'match' WHEN item_id%4=1 THEN 'NO_SOURCE' WHEN item_id%4=2 THEN 'short' ELSE 'diff' END AS state FROM benchmark""")
 def citation_compare(spark, sf_dir):
     k = F.col("item_id")
-    quote = F.when(k % 4 == 2, F.left("text", L(20))).otherwise(F.left("text", L(80)))
-    source = F.when(k % 4 == 0, F.upper(F.left("text", L(80)))).when(k % 4 == 3, F.reverse(F.left("text", L(80)))).when(k % 4 == 2, F.left("text", L(20)))
+    quote = F.when(k % 4 == 2, F.left("text", L(20))).otherwise(F.col("text"))  # a short quote is short on purpose
+    source = F.when(k % 4 == 0, F.upper("text")).when(k % 4 == 3, F.reverse("text")).when(k % 4 == 2, F.left("text", L(20)))
     return table(spark, sf_dir, "benchmark").select("item_id", sim.citation_state(quote, source).alias("state"))
 
 
@@ -182,3 +187,9 @@ def stream_windowed_counts(spark, sf_dir):
 def outside_regions(spark, sf_dir):
     change = F.udf(lambda s: e.outside(s, "<i>", "</i>", lambda x: __import__("re").sub(" +", "_", x)), "string", useArrow=True)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(change(F.concat(L("<i>keep  it</i>"), F.left("text", L(60))))).alias("changed"))
+
+
+@register("outside_regions_whole", "J27 J17", "SELECT doc_id, md5('<i>keep  it</i>' || regexp_replace(text,' +','_','g')) AS changed FROM documents")
+def outside_regions_whole(spark, sf_dir):
+    change = F.udf(lambda s: e.outside(s, "<i>", "</i>", lambda x: __import__("re").sub(" +", "_", x)), "string", useArrow=True)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(change(F.concat(L("<i>keep  it</i>"), F.col("text")))).alias("changed"))

@@ -166,6 +166,19 @@ def explode_tile_links(spark, sf_dir):
     return ids.join(titles, "id", "left").select("p_partkey", "id", F.coalesce("own", "n_name", F.col("id").cast("string")).alias("label"))
 
 
+@register("explode_tile_links_whole", "E3 DM8", """
+WITH t AS (SELECT p_partkey, unnest(string_split(p_partkey||':own,'||(p_partkey%7)||','||(p_partkey%40),',')) AS x FROM part),
+s AS (SELECT p_partkey, split_part(x,':',1)::BIGINT AS id, nullif(split_part(x,':',2),'') AS own FROM t)
+SELECT s.p_partkey, id, coalesce(own, n_name, id::VARCHAR) AS label FROM s LEFT JOIN nation ON n_nationkey=id""")
+def explode_tile_links_whole(spark, sf_dir):
+    key = F.col("p_partkey")
+    links = F.concat(key.cast("string"), L(":own,"), (key % 7).cast("string"), L(","), (key % 40).cast("string"))
+    tiles = table(spark, sf_dir, "part").select(key, F.explode(F.split(links, ",")).alias("x"))
+    ids = tiles.select("p_partkey", F.split_part("x", L(":"), L(1)).cast("long").alias("id"), F.nullif(F.split_part("x", L(":"), L(2)), L("")).alias("own"))
+    titles = table(spark, sf_dir, "nation").select(big(F.col("n_nationkey")).alias("id"), "n_name")
+    return ids.join(titles, "id", "left").select("p_partkey", "id", F.coalesce("own", "n_name", F.col("id").cast("string")).alias("label"))
+
+
 @register("link_outcomes", "E4 B14 E28", """
 SELECT CASE WHEN n=0 THEN 'no-file' WHEN flags=0 THEN 'no-link' WHEN flags=n THEN 'unchanged' WHEN o_orderstatus='F' THEN 'refixed' ELSE 'added' END AS outcome, count(*) AS n
 FROM (SELECT o_orderkey, any_value(o_orderstatus) AS o_orderstatus, count(l_orderkey) AS n, count(*) FILTER (l_returnflag='R') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1) GROUP BY 1""")

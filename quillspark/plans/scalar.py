@@ -132,6 +132,13 @@ def base64_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), t.from_base64_url(code).alias("back"))
 
 
+@register("base64_round_trip_whole", "J22 A17", """
+SELECT doc_id, rtrim(replace(replace(base64(encode(text)),'+','-'),'/','_'),'=') AS code, text AS back FROM documents""")
+def base64_round_trip_whole(spark, sf_dir):
+    code = t.base64_url(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", code.alias("code"), t.from_base64_url(code).alias("back"))
+
+
 _VERSE = "(VALUES (1,'«Молоко,'),(2,'—'),(3,'ёлка!'),(4,'в'),(5,'Ветер…')) AS t(id, token)"
 
 

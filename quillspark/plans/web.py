@@ -73,6 +73,14 @@ def bare_link_warnings(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", bare.rlike(r"(?<![\[|])https?://").alias("warn"))
 
 
+@register("bare_link_warnings_whole", "D12", r"""
+WITH s AS (SELECT doc_id, text||CASE WHEN doc_id%3=0 THEN ' https://a.b' WHEN doc_id%3=1 THEN ' [https://a.b|x]' ELSE '' END AS x FROM documents) SELECT doc_id, regexp_matches(x,'(^|[^\[|])https?://') AS warn FROM s""")
+def bare_link_warnings_whole(spark, sf_dir):
+    body = F.concat(L("---\nurl: https://q\n---\n[mus]\nhttps://y\n[/mus]\n"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, " https://a.b").when(F.col("doc_id") % 3 == 1, " [https://a.b|x]").otherwise(""))
+    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\A---\n.*?\n---\n", ""), r"(?s)\[mus[^\]]*\].*?\[/mus\]", "")
+    return table(spark, sf_dir, "documents").select("doc_id", bare.rlike(r"(?<![\[|])https?://").alias("warn"))
+
+
 @register("css_subjects", "J30 C40", """
 SELECT page_id, len(regexp_extract_all(regexp_extract(html,'<style>(.*?)</style>',1),'[^{}]+[{]'))::BIGINT AS rules, regexp_extract(html,'<style>([a-z]+)',1) AS subject FROM pages""")
 def css_subjects(spark, sf_dir):
