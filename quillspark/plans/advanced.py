@@ -15,8 +15,8 @@ L = F.lit
 
 @register("fuzzy_best_match", "E8 J12 D14", None)
 def fuzzy_best_match(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", L(20)).alias("word"))
-    return sim.best_match(asked, "item_id", "word", table(spark, sf_dir, "part").select("p_name"), "p_name")
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return sim.best_match(asked, "item_id", "text", table(spark, sf_dir, "part").select("p_name"), "p_name")
 
 
 _PAIRS = "(VALUES (1,'kitten','sitting',0.615385),(2,'abc','abc',1.0),(3,'','x',0.0),(4,'Oxygène (live)','oxygene',1.0),(5,'abcd','bcde',0.75)) AS t(id, a, b, score)"
