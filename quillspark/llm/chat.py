@@ -16,21 +16,26 @@ any other template included.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from quillspark.llm.common import fresh
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 TURN_TYPE = "array<struct<role:string,text:string>>"
 
 
 @dataclass(frozen=True)
 class ListOf:
-    """Turns from a list of structs."""
+    """Turns from a list of structs.  ``role`` and ``text`` are paths inside an element; a text that is
+    itself a list (``[]``) has its parts joined by blank lines.  ``renamed``: roles have the names of ROLES."""
 
     path: str
     role: str
     text: str
+    renamed: bool = False
 
     def paths(self) -> tuple[str, ...]:
         return (f"{self.path}[]", f"{self.path}[].{self.role}", f"{self.path}[].{self.text}")
@@ -53,7 +58,8 @@ OPTIONAL = {"name", "weight"}
 MAPPINGS: dict[str, tuple[ListOf | Fixed, ...]] = {
     "messages": (ListOf("messages", "role", "content"),),
     "messages_text": (ListOf("messages", "role", "text"),),
-    "conversations": (ListOf("conversations", "from", "value"),),
+    "conversations": (ListOf("conversations", "from", "value", renamed=True),),
+    "mapping_parts": (ListOf("mapping", "author.role", "content.parts[]"),),
     "system_messages": (Fixed("system", ("system",)), ListOf("messages", "role", "content")),
     "prompt_response": (Fixed("user", ("prompt",)), Fixed("assistant", ("response",))),
     "prompt_completion": (Fixed("user", ("prompt",)), Fixed("assistant", ("completion",))),
@@ -94,72 +100,85 @@ def _field(path: str) -> Column:
 
 
 def _kind(schema: T.StructType, path: str) -> T.DataType | None:
-    """The type at a path of nested structs; None if there is none."""
+    """The type at a path of nested structs and lists (``[]`` for the elements); None if there is none."""
     kind: T.DataType | None = schema
-    for name in path.split("."):
+    for step in path.split("."):
+        name = step.removesuffix("[]")
         kind = next((f.dataType for f in kind.fields if f.name == name), None) if isinstance(kind, T.StructType) else None
+        if step.endswith("[]"):
+            kind = kind.elementType if isinstance(kind, T.ArrayType) else None
     return kind
 
 
-def _filled(path: str, here: Column, kind: T.DataType) -> list[Column]:
+def _filled(path: str, kind: T.DataType, some: Callable[[Callable[[Column], Column]], Column]) -> Iterator[Column]:
+    """The paths from here on, each null unless filled.  ``some(p)``: whether p holds for a value at this path."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in _filled(f"{path}.{f.name}", here[f.name], f.dataType)]
-    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        inner = [f.name for f in kind.elementType.fields if f.name not in OPTIONAL]
-        some = lambda name: F.exists(here, lambda x: x[name].isNotNull())
-        return [F.when(here.isNotNull(), F.lit(f"{path}[]")), *(F.when(some(name), F.lit(f"{path}[].{name}")) for name in inner)]
-    return [F.when(here.isNotNull(), F.lit(path))]
+        for f in kind.fields:
+            yield from _filled(f"{path}.{f.name}", f.dataType, lambda p, f=f: some(lambda x: p(x[f.name])))
+    elif isinstance(kind, T.ArrayType):
+        yield F.when(some(lambda x: x.isNotNull()), F.lit(f"{path}[]"))
+        for f in kind.elementType.fields if isinstance(kind.elementType, T.StructType) else ():
+            if f.name not in OPTIONAL:
+                yield from _filled(f"{path}[].{f.name}", f.dataType, lambda p, f=f: some(lambda x: F.exists(x, lambda y: p(y[f.name]))))
+    else:
+        yield F.when(some(lambda x: x.isNotNull()), F.lit(path))
 
 
 def fingerprint(schema: T.StructType, columns: list[str]) -> Column:
-    """The fingerprint of each row over the given columns: the paths that it fills.
+    """The fingerprint of each row over the given columns: the nested paths that it fills.
 
-    A column that is null fills nothing; a list fills its own path and those of the fields that some
-    element fills; a struct fills what its fields fill.
+    A null fills nothing; a struct fills what its fields fill; a list fills its own path and those
+    that some element fills, at any depth.
     """
-    paths = [p for name in columns for p in _filled(name, F.col(f"`{name}`"), schema[name].dataType)]
+    paths = [p for name in columns for p in _filled(name, schema[name].dataType, lambda p, name=name: p(F.col(f"`{name}`")))]
     filled = F.array_sort(F.array_compact(F.array(*paths))) if paths else F.array().cast("array<string>")
     return F.substring(F.sha2(F.concat_ws("\n", filled), 256), 1, 16)
 
 
-def _canonical_role(role: Column) -> Column:
-    known = F.lower(F.coalesce(role, F.lit("")))
-    out = F.coalesce(role, F.lit(""))
-    for name, role_ in ROLES.items():
-        out = F.when(known == name, role_).otherwise(out)
+def _renamed(role: Column) -> Column:
+    out = role
+    for name, known in ROLES.items():
+        out = F.when(F.lower(role) == name, known).otherwise(out)
     return out
 
 
+def _inside(x: Column, path: str) -> Column:
+    """The value at a path inside an element; the parts of a list joined by blank lines."""
+    for step in path.split("."):
+        x = x[step.removesuffix("[]")]
+    return F.array_join(x, "\n\n") if path.endswith("[]") else x
+
+
 def _turns(source: ListOf | Fixed) -> Column:
     if isinstance(source, Fixed):
         text = F.array_join(F.filter(F.array(*(_field(f) for f in source.fields)), lambda x: F.length(x) > 0), "\n\n")
         return F.array(F.struct(F.lit(source.role).alias("role"), text.alias("text")))
-    one = lambda x: F.struct(_canonical_role(x[source.role]).alias("role"), F.coalesce(x[source.text], F.lit("")).alias("text"))
+
+    def one(x: Column) -> Column:
+        role = F.coalesce(_inside(x, source.role), F.lit(""))
+        return F.struct((_renamed(role) if source.renamed else role).alias("role"), F.coalesce(_inside(x, source.text), F.lit("")).alias("text"))
+
     return F.transform(_field(source.path), one)
 
 
-def canonical(records: DataFrame, columns: list[str], turns: str = "turns") -> DataFrame:
+def canonical(records: DataFrame, columns: list[str]) -> DataFrame:
     """The records with ``turns`` (array of role and text) by the mapping that their fingerprint selects,
     ``layout`` (the mapping's name) and ``fingerprint``.
 
     A record of an unknown layout gets null turns and a null layout, and is kept.  Null
-    texts in lists are empty texts.  Equal records give equal turns.
+    texts in lists are empty texts; roles stay as they are but in layouts that name them otherwise.
+    Equal records give equal turns.  A column that the records have is never replaced: an added
+    column whose name is taken gets underscores after it.
     """
-    known = records.withColumn("fingerprint", fingerprint(records.schema, columns))
+    code_col, layout_col, turns_col = (fresh(records, c) for c in ("fingerprint", "layout", "turns"))
+    known = records.withColumn(code_col, fingerprint(records.schema, columns))
     layout, out = F.lit(None).cast("string"), F.lit(None).cast(TURN_TYPE)
     for code, name in reversed(_layouts()):
         sources = MAPPINGS[name]
-        if not all(p.split("[]")[0].split(".")[0] in columns and _kind(records.schema, p.split("[]")[0]) for s in sources for p in s.paths()):
-            continue
-        fits = all(
-            not isinstance(s, ListOf)
-            or (isinstance(kind := _kind(records.schema, s.path), T.ArrayType) and {s.role, s.text} <= {f.name for f in getattr(kind.elementType, "fields", ())})
-            for s in sources
-        )
-        if fits:
-            layout = F.when(F.col("fingerprint") == code, name).otherwise(layout)
-            out = F.when(F.col("fingerprint") == code, F.concat(*(_turns(s) for s in sources)).cast(TURN_TYPE)).otherwise(out)
-    return known.withColumn(turns, out).withColumn("layout", layout)
+        if all(p.split(".")[0].removesuffix("[]") in columns and _kind(records.schema, p) for s in sources for p in s.paths()):
+            layout = F.when(F.col(code_col) == code, name).otherwise(layout)
+            out = F.when(F.col(code_col) == code, F.concat(*(_turns(s) for s in sources)).cast(TURN_TYPE)).otherwise(out)
+    return known.withColumn(turns_col, out).withColumn(layout_col, layout)
 
 
 def escape(text: Column) -> Column:
@@ -208,11 +227,12 @@ def format_chat(records: DataFrame, columns: list[str]) -> DataFrame:
     """The records with ``turns``, ``layout``, ``fingerprint``, ``formatted`` and ``loss`` (its loss spans).
 
     A record without turns has an empty string and no spans; one of an unknown layout
-    null in both.  No rows give no rows; the record's other columns are carried.
+    null in both.  No rows give no rows; the record's other columns are carried, and a taken name
+    gets underscores as in ``canonical``.
     """
-    done = canonical(records, columns)
-    done = done.withColumn("formatted", format_turns(F.col("turns")))
-    return done.withColumn("loss", loss_spans(F.col("formatted")))
+    turns, formatted, loss = (fresh(records, c) for c in ("turns", "formatted", "loss"))
+    done = canonical(records, columns).withColumn(formatted, format_turns(F.col(turns)))
+    return done.withColumn(loss, loss_spans(F.col(formatted)))
 
 
 def conversations_as_records(rows: DataFrame) -> DataFrame:
