@@ -33,6 +33,8 @@ from quillspark.llm.common import map_blocks, tokenizer_path
 CACHED_WORD = 48
 #: Words remembered in each of two generations.
 CACHE_WORDS = 400_000
+#: Ids that the decoder is fed at once.
+DECODED = 1 << 16
 #: Neighbouring tokens whose compatibility is remembered.
 PAIR_CACHE = 1_000_000
 
@@ -108,7 +110,7 @@ class Model:
         self.nfc, self.lower = "NFC" in kinds, "Lowercase" in kinds
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"])
-        self.specials = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
+        self.specials = regex.compile("|".join(map(regex.escape, self.special)))
         of_byte = byte_symbols()
         self.inner = [self.ids[c] for c in of_byte]
         self.final = [self.ids[c + self.suffix] for c in of_byte] if self.suffix else self.inner
@@ -128,6 +130,7 @@ class Model:
         self.longest = max(map(len, self.symbols.values()))
         self.later = later_letters()
         self.pairs: dict[int, bool] = {}
+        self._decoded: dict[bool, dict[int, bytes]] = {}
         self.trie: dict = {}  # symbols from a token's end backwards; at -1 the token, or -1
         for token, symbols in self.symbols.items():
             node = self.trie
@@ -163,7 +166,7 @@ class Model:
     def segments(self, text: str) -> Iterator[tuple[bool, str]]:
         """(is special, string): special strings are found in the raw text."""
         at = 0
-        if self.specials and "<|" in text:
+        if any(s in text for s in self.special):
             for m in self.specials.finditer(text):
                 if m.start() > at:
                     yield False, text[at : m.start()]
@@ -186,12 +189,16 @@ class Model:
                 return [w if STAND_IN not in w else "".join(next(kept) if c == STAND_IN else c for c in w) for w in found]
         return self.words.findall(text)
 
-    def start(self, word: str) -> list[int]:
+    def stream(self, word: str) -> Iterator[int]:
+        """The symbols of a word, one by one."""
         raw = word.encode()
-        out = [self.inner[b] for b in raw]
+        for b in memoryview(raw)[:-1]:
+            yield self.inner[b]
         if raw:
-            out[-1] = self.final[raw[-1]]
-        return out
+            yield self.final[raw[-1]]
+
+    def start(self, word: str) -> list[int]:
+        return list(self.stream(word))
 
     # -- heap and linked list -----------------------------------------------------
 
@@ -234,6 +241,17 @@ class Model:
             return n
         return n - self.merge(self.start(word))[0].count(-1)
 
+    def bytes_of(self, surfaces: bool) -> dict[int, bytes]:
+        """The bytes that each token stands for in a decoder's output."""
+        if surfaces not in self._decoded:
+            self._decoded[surfaces] = {i: s.encode() if surfaces or s in self.special else self._raw(s) for i, s in self.surface.items()}
+        return self._decoded[surfaces]
+
+    def _raw(self, surface: str) -> bytes:
+        ends = bool(self.suffix) and surface.endswith(self.suffix)
+        body = surface[: len(surface) - len(self.suffix)] if ends else surface
+        return bytes(self.byte_of[c] for c in body) + (b" " if ends else b"")
+
     def compatible(self, left: int, right: int) -> bool:
         """Whether the encoding of the two tokens' text is these two tokens."""
         key = left << 20 | right
@@ -318,7 +336,7 @@ class Transducer:
 
 def encode_word(model: Model, word: str) -> list[int]:
     machine = Transducer(model)
-    out = machine.feed(model.start(word))
+    out = machine.feed(model.stream(word))
     return out + machine.finish() if out else machine.finish()
 
 
@@ -326,43 +344,35 @@ class Decoder:
     """Ids to text, piece by piece: a byte-to-text state machine that holds at most the
     bytes of one unfinished character, and whether a token came before.
 
-    Without a decoder in its file the library joins the tokens' surfaces by a space; that
-    is ``surfaces=True``.  Otherwise the bytes that the tokens stand for become text, with
-    a space where a word ends.
+    Every token stands for some bytes, and the incremental decoder turns bytes into text as soon as
+    characters are whole.  Without a decoder in its file the library writes the tokens' surfaces with a
+    space between them; that is ``surfaces=True``.  Otherwise the bytes are those that the tokens
+    were made from, with a space where a word ends.
     """
 
     def __init__(self, model: Model, surfaces: bool = True):
-        self._model, self._surfaces = model, surfaces
+        self._bytes = model.bytes_of(surfaces)
+        self._between = b" " if surfaces else b""
         self._text = codecs.getincrementaldecoder("utf-8")("replace")
         self._begun = False
 
-    def _bytes(self, token: int) -> bytes:
-        surface = self._model.surface.get(token)
-        if surface is None:
-            return b""
-        if surface in self._model.special:
-            return surface.encode()
-        ends = bool(self._model.suffix) and surface.endswith(self._model.suffix)
-        body = surface[: len(surface) - len(self._model.suffix)] if ends else surface
-        return bytes(self._model.byte_of[c] for c in body) + (b" " if ends else b"")
-
     def feed(self, ids: Iterable[int]) -> str:
-        if self._surfaces:
-            known = self._model.surface
-            said = " ".join([known[i] for i in ids if i in known])
-            if self._begun and said:
-                said = f" {said}"
-            self._begun = self._begun or bool(said)
-            return said
-        return "".join(self._text.decode(self._bytes(i)) for i in ids)
+        known = self._bytes
+        raw = self._between.join([known[i] for i in ids if i in known])
+        if self._begun and raw:
+            raw = self._between + raw
+        self._begun = self._begun or bool(raw)
+        return self._text.decode(raw)
 
     def finish(self) -> str:
         return self._text.decode(b"", True)
 
 
-def decode(model: Model, ids: Iterable[int], surfaces: bool = True) -> str:
+def decode(model: Model, ids: np.ndarray | list[int], surfaces: bool = True) -> str:
+    """The text of ids, fed in pieces of DECODED."""
     machine = Decoder(model, surfaces)
-    return machine.feed(ids) + machine.finish()
+    pieces = [machine.feed(ids[a : a + DECODED]) for a in range(0, len(ids), DECODED)]
+    return "".join([*pieces, machine.finish()])
 
 
 #: Of the file that this worker process used last: the model and its memories of words.
@@ -380,9 +390,8 @@ def _known(shared, kind: str, make: Callable[[Model, str], object]) -> tuple[Mod
     return model, _worker[kind]
 
 
-def _coded(model: Model, word: str) -> tuple[bytes, str]:
-    ids = encode_word(model, word)
-    return array("i", ids).tobytes(), decode(model, ids)
+def _coded(model: Model, word: str) -> bytes:
+    return array("i", encode_word(model, word)).tobytes()
 
 
 class _Shared:
@@ -413,16 +422,16 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         model, known = _known(shared, "coded", _coded)
         ids, sizes, decoded = [], [0], []
         for text in batch.column("t").to_pylist():
-            pairs = []
+            coded = []
             for is_special, part in model.segments(text or ""):
                 if is_special:
-                    pairs.append((array("i", [model.special[part]]).tobytes(), part))
+                    coded.append(array("i", [model.special[part]]).tobytes())
                 else:
-                    pairs += map(known.__getitem__, model.split(part))
-            row = b"".join([p[0] for p in pairs])
+                    coded += map(known.__getitem__, model.split(part))
+            row = array("i", b"".join(coded))
             ids.append(row)
-            sizes.append(sizes[-1] + len(row) // 4)
-            decoded.append(" ".join([p[1] for p in pairs]))
+            sizes.append(sizes[-1] + len(row))
+            decoded.append(decode(model, row))
         lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
         return pa.RecordBatch.from_arrays([batch.column("i"), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 

@@ -37,6 +37,35 @@ def test_ids_decode_and_count_equal_the_library(text):
     assert bpe.decode(MODEL, want) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "Straße ", "漢字", " 🙂", "<|", "|>", "in the end", "\n\n"]), max_size=12), st.integers(1, 5))
+def test_decoding_in_pieces_equals_the_library(parts, size):
+    ids = LIBRARY.encode("".join(parts), add_special_tokens=False).ids
+    machine = bpe.Decoder(MODEL)
+    pieces = [machine.feed(ids[a : a + size]) for a in range(0, len(ids), size)]
+    assert "".join(pieces) + machine.finish() == LIBRARY.decode(ids, skip_special_tokens=False)
+    assert mine("".join(parts)) == ids
+
+
+def test_the_query_equals_the_library(spark):
+    texts = ["".join(random.Random(k).choice(["<|endoftext|>", "Ein Wort ", "日本", "a b", "é", "<|", "12 "]) for _ in range(40)) for k in range(30)] + [None, ""]
+    got = {r.doc_id: r for r in bpe.encode(frame(spark, [(k, t, None, None) for k, t in enumerate(texts)]), WORD).collect()}
+    for k, t in enumerate(texts):
+        want = LIBRARY.encode(t or "", add_special_tokens=False).ids
+        assert got[k].ids == want and got[k].decoded == LIBRARY.decode(want, skip_special_tokens=False)
+
+
+def test_special_strings_of_any_spelling():
+    import json
+
+    with open(public_tokenizers.path(WORD), encoding="utf-8") as f:
+        spec = json.load(f)
+    own = {"id": 60000, "content": "[SEP]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}
+    spec["added_tokens"] = [own]
+    model = bpe.Model(json.dumps(spec))
+    assert [s for s in model.segments("a[SEP]b")] == [(False, "a"), (True, "[SEP]"), (False, "b")]
+
+
 def test_special_strings_and_very_long_words():
     rng = random.Random(5)
     for text in ("a<|endoftext|>b<|startoftext|>", "a" * 4000, "in" * 3000 + "x", "".join(rng.choice("inthear") for _ in range(9000))):
