@@ -7,7 +7,9 @@ quality of a document, and a calibration on training documents makes its score.
 
 Training: a document's lines take its label.  The fit maximises the penalised conditional
 likelihood on at most ``TRAIN_DOCS`` labelled documents (those of least hash of
-their id), whose line features, not texts, are gathered on the driver.
+their id), whose line features, not texts, are gathered on the driver.  All lines of these
+documents count, each beside its true neighbours; the fit alone cuts chains into runs of
+``TRAIN_RUN`` neighbouring lines, whose transitions it sums.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from quillspark.llm.textstats import word_stats
 
 #: Labelled documents that the model is fitted on, at most.
 TRAIN_DOCS = 4000
-#: Lines of one training document that are gathered: evenly spaced over the whole text.
-TRAIN_LINES = 400
+#: Neighbouring lines that make one chain in the fit; scores use whole chains.
+TRAIN_RUN = 128
 PREDICT_FROM = 0.3
 OWN = 13  # features of a line itself
 
@@ -131,13 +133,20 @@ def document_means(good: np.ndarray, length: np.ndarray, first: np.ndarray) -> n
     return np.clip((total[first[1:]] - total[first[:-1]]) / np.maximum(w, 1e-9), 0, 1)
 
 
+def runs_of(first: np.ndarray, most: int = TRAIN_RUN) -> np.ndarray:
+    """Where the runs of at most ``most`` neighbouring lines begin, and the end of the last."""
+    begins = [np.arange(a, b, most) for a, b in zip(first[:-1], first[1:])]
+    return np.concatenate([*begins, first[-1:]]).astype(np.int64)
+
+
 def fit(own: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 300) -> Model:
-    """Gradient ascent (Adam) on the conditional likelihood, then a logistic calibration."""
+    """Gradient ascent (Adam) on the conditional likelihood of runs, then a logistic calibration on whole documents."""
     x = with_neighbours(own, first)
     owner = np.repeat(np.arange(label.size), np.diff(first))
     y = label[owner].astype(float)
+    runs = runs_of(first)
     inner = np.ones(x.shape[0], bool)
-    inner[first[:-1][np.diff(first) > 0]] = False
+    inner[runs[:-1]] = False
     seen = np.array([[np.sum(inner & (y == 0)), 0], [0, np.sum(inner & (y == 1))]], float)
     theta = np.zeros(x.shape[1] + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -145,7 +154,7 @@ def fit(own: np.ndarray, length: np.ndarray, first: np.ndarray, label: np.ndarra
     for step in range(1, rounds + 1):
         odds = x @ theta[:-4]
         pair = theta[-4:].reshape(2, 2)
-        good, moves = marginals(np.stack([np.zeros_like(odds), odds], 1), pair, first)
+        good, moves = marginals(np.stack([np.zeros_like(odds), odds], 1), pair, runs)
         gradient = np.concatenate([x.T @ (y - good), (seen - moves).ravel()]) / n - 1e-3 * theta
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
@@ -186,9 +195,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Model:
             lines = lines_of(text)
             own = line_features(lines)
             length = np.array([len(x) for x in lines], float)
-            if len(lines) > TRAIN_LINES:
-                at = np.linspace(0, len(lines) - 1, TRAIN_LINES).astype(int)
-                own, length = own[at], length[at]
             rows.append(pickle.dumps((own.astype(np.float32), length.astype(np.float32))))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "lines"])
 
