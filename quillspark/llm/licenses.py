@@ -6,12 +6,17 @@ place), of a size set by the templates alone.  All parts of a text are looked up
 GRAM + WINDOW - 1 words in a row that agree with a template are enough to find it.  Of
 templates of at most SHORT words all two-word parts are kept, so two words do.  Each
 region found is aligned with its template (match 2, mismatch and gap -1, within BAND of
-the diagonal); the share of template words matched is the coverage.
+the diagonal); the share of template words matched is the coverage.  Before a region is aligned,
+the words that template and band share, in any order, bound what can match: long templates meet
+ordinary prose at little cost.
 """
 
 from __future__ import annotations
 
+import os
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Mapping
 
 import numpy as np
@@ -49,6 +54,7 @@ class Index:
     def __init__(self, templates: Mapping[str, str]):
         self.names = list(templates)
         self.words = [fold(t.encode()).split() for t in templates.values()]
+        self.bags = [Counter(w) for w in self.words]
         self.grams: set[int] = set()  # sizes of the parts
         found: list[tuple[int, int, int]] = []
         for k, words in enumerate(self.words):
@@ -119,7 +125,8 @@ def matches(index: Index, words: list[bytes], hits: list[tuple[int, int]], least
             regions.setdefault(k, []).append(at - place)
     found = []
     for k, diagonals in regions.items():
-        template = index.words[k]
+        template, bag = index.words[k], index.bags[k]
+        need = least * len(template)
         left: list[bytes | None] = list(words)
         while diagonals:
             # a neighbouring copy may hide another in the same band, so asked again without what is found
@@ -127,9 +134,12 @@ def matches(index: Index, words: list[bytes], hits: list[tuple[int, int]], least
             for d in sorted(set(diagonals)):
                 if len(template) > SHORT and last is not None and d - last <= BAND // 2:
                     continue  # the band of the last alignment holds this one
+                band = Counter(left[max(0, d - BAND) : max(0, d + len(template) + BAND)])
+                if (bag & band).total() < need:
+                    continue  # no alignment here can match enough words
                 last = d
                 _, m, a, b = align(template, left, d)
-                if m and m >= least * len(template):
+                if m and m >= need:
                     best.append((m, a, b))
                     again.append(d)
             for m, a, b in sorted(best, key=lambda x: (-x[0], x[1], x[2])):
@@ -138,17 +148,32 @@ def matches(index: Index, words: list[bytes], hits: list[tuple[int, int]], least
                     left[a:b] = [None] * (b - a)
             diagonals = again
     found.sort(key=lambda x: (-x[1], -x[4], x[2], x[0]))
+    begins: list[int] = []  # of the matches kept, ascending; they don't overlap, so one look-up tells
     kept: list[tuple] = []
     for x in found:
-        if all(x[3] <= y[2] or x[2] >= y[3] for y in kept):
-            kept.append(x)
-    return sorted(kept, key=lambda x: x[2])
+        i = bisect_right(begins, x[2])
+        if (i == 0 or kept[i - 1][3] <= x[2]) and (i == len(kept) or x[3] <= begins[i]):
+            begins.insert(i, x[2])
+            kept.insert(i, x)
+    return kept
+
+
+def templates_of(folder: str) -> dict[str, str]:
+    """The texts (``*.txt`` or without an ending) of a folder of license texts, by file name, to be scanned for."""
+    names = sorted(n for n in os.listdir(folder) if n.endswith(".txt") or "." not in n or n[-1].isdigit())
+    out = {}
+    for name in names:
+        with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
+            out[name.removesuffix(".txt")] = f.read()
+    return out
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, matched_words, coverage, start_char, end_char): a row for each match.
 
-    The span is in code points of the text.  Null, empty and unlicensed texts give no row;
+    The span is in code points of the text.  Of alignments of one score the first found stays (the least template
+    word, then the least word of the text); of overlapping matches the one of more matched words, then of
+    higher coverage, of the earlier begin and of the lesser name.  Null, empty and unlicensed texts give no row;
     equal rows give equal matches; a null id is kept; no rows or templates give no rows; other columns are
     ignored.
     """
