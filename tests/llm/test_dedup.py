@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quillspark.llm import neardup, simhash, substring
 from quillspark.llm.bytespans import Rolling, Words, xxh64_spans
@@ -179,8 +180,8 @@ def brute_cut(texts, window):
     return out
 
 
-@pytest.mark.parametrize("window,paths", [(35, 2048), (12, 2), (5, 3)])
-def test_substring_removal(spark, monkeypatch, window, paths):
+@pytest.mark.parametrize("window,paths,bits", [(35, 2048, 64), (12, 2, 64), (5, 3, 64), (35, 2048, 3), (12, 2, 1)])
+def test_substring_removal(spark, monkeypatch, window, paths, bits):
     monkeypatch.setattr(substring, "PATHS_A_TASK", paths)
     rng = random.Random(window)
     words = ["v%d" % i for i in range(300)]
@@ -192,12 +193,46 @@ def test_substring_removal(spark, monkeypatch, window, paths):
         texts.append(" ".join(w[:at] + passage[a : a + rng.randint(window, 70)] + w[at:]))
     texts += texts[5:8]
     docs = spark.createDataFrame([(i % 40, t, i) for i, t in enumerate(texts)], "doc_id long, text string, first int").repartition(3)
-    got = {r["first"]: r for r in substring.remove_repeats(docs, window, joined=True).collect()}
+    got = {r["first"]: r for r in substring.remove_repeats(docs, window, joined=True, bits=bits).collect()}
     for i, (n, removed, kept) in enumerate(brute_cut(texts, window)):
         assert (got[i].n_words, got[i].n_removed, got[i].text) == (n, removed, kept)
     assert substring.remove_repeats(docs.filter("false"), window).count() == 0
 
 
+def test_compacted_paths():
+    path = lambda first, n, left, right: {"first": first, "n": n, "left": left, "right": right}
+    paths = [path(9, 4, True, False), path(0, 5, False, True), path(5, 4, True, True), path(13, 2, True, True), path(20, 3, True, True)]
+    assert substring.compacted(paths) == [(0, 13), (13, 2), (20, 3)]
+
+
+def test_rows_in_another_order_at_each_reading(spark):
+    rng = random.Random(9)
+    passage = " ".join(f"q{i}" for i in range(40))
+    rows = [(i, " ".join([f"z{rng.randrange(10**6)}" for _ in range(50)] + [passage] * (i % 3 == 0))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)  # dealt round robin
+    shaken = docs.orderBy(F.rand())  # no seed: every evaluation of the plan deals the rows anew
+    got = {r.doc_id: r for r in substring.remove_repeats(shaken, 35, joined=True).collect()}
+    for (i, t), (n, removed, kept) in zip(rows, brute_cut([t for _, t in rows], 35)):
+        assert (got[i].n_words, got[i].n_removed, got[i].text) == (n, removed, kept)
+
+
+def test_columns_of_any_kind_are_carried(spark):
+    rows = [(1, "a b c", {"x": 1}, [1], (2, "y")), (1, "a b c", {"x": 1}, [1], (2, "y")), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, a array<int>, s struct<p:int,q:string>")
+    got = substring.remove_repeats(docs, 2).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_removed) for r in got) == [(0, "", 0), (1, "", 3), (1, "", 3)]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(4)
+    words = [f"l{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[20_000:50_000])), (3, "x " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs, 35).collect()}
+    assert got == {1: (60_000, 30_000), 2: (30_000, 30_000), 3: (50_000, 50_000)}
+    assert simhash.near_duplicates(docs).count() == 3 and neardup.keep_one(docs).count() == 3
+
+
 def test_cut_keeps_layout(spark):
     passage = " ".join(f"p{i}" for i in range(6))
     docs = spark.createDataFrame([(1, f"a\n b  {passage}\nend  x"), (2, f"{passage}\n\nq"), (3, passage)], "doc_id int, text string")
