@@ -32,16 +32,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (a single machine,
-    as in tests) a temporary folder is taken.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs on one
+    machine (as in tests) a temporary folder is taken.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "")
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillspark-"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, if it is there."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
