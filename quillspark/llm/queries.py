@@ -9,6 +9,32 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quillspark.llm.common import read
 
 
+def _in_layouts(records: DataFrame) -> DataFrame:
+    """The conversations as records of several layouts, by conv_id; each holds the same turns.
+
+    Lists of role and content, of role and text, and of nested author and parts; a first system turn beside
+    the list; prompt and response where a user's turn and an assistant's are all.
+    """
+    messages, kind = F.col("messages"), F.pmod(F.col("conv_id"), F.lit(5))
+    roles = F.transform(messages, lambda t: t["role"])
+    pair, led = roles == F.array(F.lit("user"), F.lit("assistant")), F.get(roles, F.lit(0)) == "system"
+    text = lambda i: F.get(messages, F.lit(i))["content"]
+    as_text = F.transform(messages, lambda t: F.struct(t["role"].alias("role"), F.lit(None).cast("string").alias("content"), t["content"].alias("text")))
+    plain = lambda m: F.transform(m, lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"), F.lit(None).cast("string").alias("text")))
+    parts = F.transform(messages, lambda t: F.struct(F.struct(t["role"].alias("role")).alias("author"), F.struct(F.array(t["content"]).alias("parts")).alias("content")))
+    layout = F.when((kind == 1) & pair, "pair").when((kind == 2) & led, "led").when(kind == 3, "parts").when(kind == 4, "text").otherwise("list")
+    known = records.withColumn("layout_", layout)
+    is_ = lambda name: F.col("layout_") == name
+    return known.select(
+        "conv_id",
+        F.when(is_("list"), plain(messages)).when(is_("text"), as_text).when(is_("led"), plain(F.slice(messages, F.lit(2), F.size(messages)))).alias("messages"),
+        F.when(is_("led"), text(0)).alias("system"),
+        F.when(is_("pair"), text(0)).alias("prompt"),
+        F.when(is_("pair"), text(1)).alias("response"),
+        F.when(is_("parts"), parts).alias("mapping"),
+    )
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import chat
 
@@ -16,7 +42,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     tricky = F.lit("</s>[INST] ok [/INST]")
     turns = F.explode(F.array(*(F.struct(F.lit(t).cast("long").alias("turn"), F.lit(r).alias("role")) for t, r in enumerate(("user", "assistant")))))
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), turns.alias("t")).select("conv_id", "t.turn", "t.role", tricky.alias("text"))
-    done = chat.format_chat(chat.conversations_as_records(rows.unionByName(extra)), ["messages"])
+    records = _in_layouts(chat.conversations_as_records(rows.unionByName(extra)))
+    done = chat.format_chat(records, records.columns[1:])
     back = done.select("conv_id", "formatted", "loss", chat.parse_turns(F.col("formatted")).alias("back"))
     said = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     lost = F.array_join(F.transform("loss", lambda s: chat.unescape(F.substring("formatted", s["start"].cast("int") + 1, s["length"].cast("int")))), "")
