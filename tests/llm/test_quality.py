@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quillspark.llm import chat, crf, licenses, merkle, queries as q, rules
@@ -44,6 +45,27 @@ def test_layouts_that_share_a_table(spark):
     assert turns == {1: [("user", "a"), ("assistant", "b")], 2: [("user", "c"), ("assistant", "")], 3: [("user", "p"), ("assistant", "r")], 5: [("user", "")]}
 
 
+def test_nested_paths_and_taken_names(spark):
+    kind = "id int, mapping array<struct<author:struct<role:string>,content:struct<parts:array<string>>>>, turns int, layout string, formatted int, loss int, fingerprint int"
+    rows = [
+        (1, [(("user",), (["a", "b"],)), (("Human",), ([None],))], 7, "x", 8, 9, 10),
+        (2, [(None, None), (("user",), None)], None, None, None, None, None),
+        (3, [], None, None, None, None, None),
+        (4, None, None, None, None, None, None),
+    ]
+    got = {r.id: r for r in chat.format_chat(spark.createDataFrame(rows, kind), ["mapping"]).collect()}
+    assert (got[1].turns, got[1].layout, got[1].formatted, got[1].loss, got[1].fingerprint) == (7, "x", 8, 9, 10)
+    assert [(t.role, t.text) for t in got[1].turns_] == [("user", "a\n\nb"), ("Human", "")]
+    assert [(t.role, t.text) for t in got[2].turns_] == [("", ""), ("user", "")]
+    assert got[1].layout_ == got[2].layout_ == "mapping_parts" and got[3].turns_ == [] and got[4].layout_ is None
+
+
+def test_a_very_long_turn(spark):
+    rows = [(1, [("user", "<|" * 300_000), ("assistant", "x" * 1_000_000)])]
+    r = chat.format_chat(spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>"), ["messages"]).first()
+    assert len(r.formatted) > 1_900_000 and r.loss[0].length == 1_000_000
+
+
 def test_any_text_comes_back(spark):
     rng = random.Random(2)
     bits = ["<", "|", "\\", "<|turn|>", "<|end|>\n", "<|text|>", "x", "</s>", "\n", "é🙂", "$1"]
@@ -65,21 +87,49 @@ def test_merkle_equality_edits_and_order(spark):
     assert got[0][0] == [1] and abs(got[0][1] - 2 / 3) < 1e-9 and got[1][0] == [] and got[1][1] == 1.0
 
 
-@pytest.mark.parametrize("rows", [[(5, "abcdefgh"), (2, "xyz"), (None, "null id text"), (9, None), (9, "dup"), (40, "ü" * 9)], [(3, "only one.")], []])
+def tree(text):
+    """The fingerprint in plain Python: branches and leaves."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = [sha(p) for p in text.split("\n")]
+    groups = [digests[i : i + merkle.SECTION] for i in range(0, len(digests), merkle.SECTION)]
+    sections = [sha("".join(g)) for g in groups]
+    leaves = [x for p in text.split("\n") for x in re.findall(r"[^.!?]{0,31}[.!?]+|[^.!?]{1,32}", p)]
+    hashed = [f"{xxhash.xxh64_intdigest(x.encode(), 42) >> 32:08x}" for x in leaves]
+    upper = [sha("".join(sections))[:32], ",".join(s[:8] for s in sections), "/".join("".join(d[:8] for d in g) for g in groups)]
+    return ";".join([*upper, "".join(hashed)]), hashed
+
+
+def tree_likeness(a, b):
+    if a == b:
+        return 1.0
+    x, y = tree(a)[1], tree(b)[1]
+    places = 2 * sum(p == q for p, q in zip(x, y)) / max(len(x) + len(y), 1)
+    return max(places, 2 * len(set(x) & set(y)) / max(len(set(x)) + len(set(y)), 1))
+
+
+_LINES = [f"Line {i} of a text, not long. Is it? Yes! " * (i % 4) for i in range(60)]
+_EDITED = [
+    [(5, "abcdefgh"), (2, "xyz"), (None, "null id text"), (9, None), (9, "dup"), (9, "pud"), (9, "dup"), (40, "ü" * 9)],
+    [(3, "only one.")],
+    [(3, "twice"), (3, "twice")],
+    [],
+    [(i, "\n".join(_LINES[i : i + i * 3 % 41])) for i in range(30)] + [(31, "no line feed in it. " * 4000), (32, "\n\n\n"), (33, "a\n" * 3000)],
+]
+
+
+@pytest.mark.parametrize("rows", _EDITED)
 def test_edited_texts(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("need", F.lit("clash"))
-    texts = {}
-    for i, t in rows:
-        t = t or ""
-        texts[i] = t if i not in texts else min(texts[i], t, key=len)
-    order = sorted(texts, key=lambda i: (i is not None, i or 0))
-    got = {r.doc_id: r for r in merkle.against_edits(docs).collect()}
-    assert set(got) == set(order)
-    for k, i in enumerate(order):
-        t, after = texts[i], texts[order[(k + 1) % len(order)]]
-        n = len(t) // 4
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - n] + after[:n]).encode()).hexdigest()
-        assert 0 <= got[i].near_edited <= 1 and got[i].n_chars == len(t)
+    signed = lambda t: (xxhash.xxh64_intdigest(t.encode(), 42) + 2**63) % 2**64 - 2**63
+    order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1]), signed(r[1])))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, n = order[(k + 1) % len(order)][1], len(t) // 4
+        edited = t[: len(t) - n] + after[:n]
+        row = (i, len(t), hashlib.sha256(edited.encode()).hexdigest(), tree(t)[0], tree(edited)[0], tree_likeness(t, edited), tree_likeness(t, after))
+        want += [row] * sum((j, s or "") == (i, t) for j, s in rows)
+    got = [tuple(r) for r in merkle.against_edits(docs).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def brute_counts(t):
@@ -152,6 +202,27 @@ def test_classifier_on_held_out_rows(spark):
     assert right >= 0.93 * len(held)
 
 
+def test_every_line_of_a_long_training_document_counts(spark):
+    lines = [f"Line {i} is a good line with several words." if i % 2 else f"## {i} !! $$ **" for i in range(2000)]
+    docs = spark.createDataFrame([(i, "\n".join(lines[: 2000 - i] if i else lines)) for i in range(3)] + [(7, "bad $$ ## !!")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 0, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
+    taken = {r.doc_id for r in labels.filter(~crf.held_out()).collect()}
+    sizes = []
+    own = crf.fit
+
+    def fit(features, length, first, label):
+        sizes.extend(np.diff(first).tolist())
+        return own(features, length, first, label, rounds=2)
+
+    crf.fit = fit
+    try:
+        crf.train(docs, labels)
+    finally:
+        crf.fit = own
+    assert sorted(sizes) == sorted({0: 2000, 1: 1999, 2: 1998, 7: 1}[i] for i in taken)
+    assert crf.runs_of(np.array([0, 0, 300, 301]), 128).tolist() == [0, 128, 256, 300, 301]
+
+
 def test_classifier_edges(spark):
     docs = spark.createDataFrame([(1, None, 2.0), (2, "", None), (None, "good line here.\nmore of it.", 0.0), (4, "x!! " * 9000, 1.0)], "doc_id long, text string, __score double")
     labels = spark.createDataFrame([(4, 0, 0), (4, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
@@ -193,6 +264,61 @@ def test_every_copy_of_a_short_statement_is_found(spark):
         assert [r.license for r in found] == [name] * n, text
 
 
+def whole_alignment(template, words):
+    """The most template words that any local alignment of the best score matches, without a band."""
+    best = (0, 0)
+    above = [(0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0, 0)]
+        for j, w in enumerate(words):
+            s, m = above[j]
+            cell = max((s + 2, m + 1) if t == w else (s - 1, m), (above[j + 1][0] - 1, above[j + 1][1]), (row[-1][0] - 1, row[-1][1]))
+            row.append(cell if cell[0] > 0 else (0, 0))
+            best = max(best, row[-1])
+        above = row
+    return best
+
+
+def test_banded_alignment_equals_the_whole_one(spark):
+    rng = random.Random(8)
+    rows, want = [], []
+    for k in range(60):
+        name = rng.choice(list(TEMPLATES))
+        template = licenses.fold(TEMPLATES[name].encode()).split()
+        words = [w.decode() for w in template]
+        for _ in range(rng.randint(0, len(words) // 12)):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = rng.choice([[], ["zz"], [words[at], "yy"]])
+        text = " ".join(f"p{rng.randrange(99)}" for _ in range(rng.randint(0, 30)))
+        text = f"{text} {' '.join(words)} q"
+        rows.append((k, text))
+        matched = whole_alignment(template, licenses.fold(text.encode()).split())[1]
+        want.append((name, matched) if matched >= licenses.LEAST * len(template) else None)
+    found = {k: [] for k, _ in rows}
+    for name in TEMPLATES:  # each template by itself, so no other takes its place
+        for r in licenses.scan(spark.createDataFrame([x for x, w in zip(rows, want) if w and w[0] == name], "doc_id int, text string"), {name: TEMPLATES[name]}).collect():
+            found[r.doc_id].append((r.license, r.matched_words))
+    assert sum(w is not None for w in want) > 40
+    for (k, _), w in zip(rows, want):
+        assert w is None or found[k] == [w]
+
+
+def test_many_copies_and_prose_near_long_templates(spark):
+    rng = random.Random(2)
+    many = " ".join([TEMPLATES["mit-permission"]] * 40)
+    prose = " ".join(rng.choice("the of software this or use a in and to any copyright notice conditions zebra apple river".split()) for _ in range(20_000))
+    got = licenses.scan(spark.createDataFrame([(1, many), (2, prose)], "doc_id int, text string")).collect()
+    assert [r.license for r in got if r.doc_id == 1] == ["mit-permission"] * 40
+    ends = sorted((r.start_char, r.end_char) for r in got if r.doc_id == 1)
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_templates_of_a_folder(spark, tmp_path):
+    (tmp_path / "own.txt").write_text("You may use this text as you like, but name its author in every copy of it.")
+    got = licenses.scan(spark.createDataFrame([(1, "x You may use this text as you like, but name its author in each copy of it. y")], "doc_id int, text string"), licenses.templates_of(str(tmp_path)))
+    assert [(r.license, r.matched_words) for r in got.collect()] == [("own", 16)]
+
+
 def test_every_statement_is_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = sum(sum(r.text.count(TEMPLATES[n]) for n in TEMPLATES if n.endswith("statement")) for r in docs.collect())
