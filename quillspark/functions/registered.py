@@ -10,13 +10,13 @@ PREFIX = "qs_"
 def register(spark: SparkSession) -> list[str]:
     """Register the functions in the session; the names registered."""
     from quillspark.functions.markup import parse_document
-    from quillspark.operators import convert, edits, similarity, verse
+    from quillspark.operators import convert, edits, importer, similarity, verse
 
     found = {
         "parse": parse_document,
         "render": convert.render_document,
-        "convert": convert.convert_page,
-        "notes": convert.harvest_notes,
+        "convert": importer.import_page,
+        "notes": importer.harvest_notes,
         "capitals": convert.folded_capitals,
         "markdown": convert.markdown_html,
         "nodes": edits.html_nodes,

@@ -1,8 +1,4 @@
-"""HTML to block markup by roles, and block markup to HTML, one document at a time (Arrow UDFs).
-
-The walk goes over the node tree once, in document order.  Which tag becomes which block
-is a table of rules; wrappers without a rule are entered, never dropped.
-"""
+"""Block markup to HTML, one document at a time (Arrow UDFs)."""
 
 from __future__ import annotations
 
@@ -12,99 +8,6 @@ import re
 from pyspark.sql import functions as F, types as T
 
 from quillspark.functions.markup import parse_blocks, parse_notes, split_notes
-from quillspark.operators.edits import tree
-
-#: tag or class -> block form (fixed rules, first match wins); {} is the inline text.
-RULES = (
-    ("h1", None),
-    ("h2", "## {}"),
-    ("h3", "### {}"),
-    ("h4", "### {}"),
-    (".epigraph", "[epi]\n{}\n[/epi]"),
-    ("blockquote", "[quote]\n{}\n[/quote]"),
-    (".signature", "[sig]{}[/sig]"),
-    (".stanza", "[poem]\n{}\n[/poem]"),
-    ("p", "{}"),
-    ("li", "- {}"),
-    ("dt", "{}"),
-    ("dd", "{}"),
-    ("tr", "{}"),
-)
-DROPPED = {"script", "style", "nav", "footer", "head"}
-_SPACE = re.compile(r"[ \t\r\f\v]+")
-
-
-class _Walk:
-    def __init__(self, nodes: list[dict]):
-        self.nodes = nodes
-        self.kids: dict[int | None, list[int]] = {}
-        for n in nodes:
-            self.kids.setdefault(n["parent"], []).append(n["id"])
-
-    def inline(self, i: int) -> str:
-        """Text with italics, links and breaks in markup."""
-        n = self.nodes[i]
-        if n["tag"] == "#text":
-            return _SPACE.sub(" ", n["text"].replace("\n", " "))
-        if n["tag"] in DROPPED:
-            return ""
-        if n["tag"] == "br":
-            return "\n"
-        text = "".join(map(self.inline, self.kids.get(i, ())))
-        if n["tag"] in ("em", "i") and text.strip():
-            return f"_{text.strip()}_"
-        if n["tag"] == "a" and n["attrs"].get("href") and text.strip():
-            return f"[{n['attrs']['href']}|{text.strip()}]"
-        if n["tag"] == "sup" and text.strip().strip("[]").isdigit():
-            return f"[^{text.strip().strip('[]')}]"
-        return text
-
-    def rule(self, i: int):
-        n = self.nodes[i]
-        names = {n["tag"], *("." + c for c in n["attrs"].get("class", "").split())}
-        return next(((key, form) for key, form in RULES if key in names), None)
-
-    def blocks(self, i: int) -> list[str]:
-        n = self.nodes[i]
-        if n["tag"] in DROPPED:
-            return []
-        if n["tag"] == "#text":
-            text = " ".join(n["text"].split())
-            return [text] if text else []
-        if found := self.rule(i):
-            text = re.sub(r" *\n *", "\n", "".join(map(self.inline, self.kids.get(i, ())))).strip()
-            return [found[1].format(text)] if text and found[1] else []
-        return [b for k in self.kids.get(i, ()) for b in self.blocks(k)]
-
-    def title(self) -> str:
-        at = next((n["id"] for n in self.nodes if n["tag"] == "h1"), None)
-        return "" if at is None else " ".join("".join(map(self.inline, self.kids.get(at, ()))).split())
-
-
-def convert(html: str | None) -> dict:
-    """Markup of a page, its title, and the coverage: visible characters out over in, to 3 places."""
-    try:
-        nodes = tree(html)
-        walk = _Walk(nodes)
-        parts = [b for i in walk.kids.get(None, ()) for b in walk.blocks(i)]
-        body = "\n\n".join(parts)
-        seen = lambda s: len("".join(s.split()))
-        dropped: set[int] = set()
-        mass = 0
-        for n in nodes:
-            if n["tag"] in DROPPED | {"h1"} or n["parent"] in dropped:
-                dropped.add(n["id"])
-            elif n["tag"] == "#text":
-                mass += seen(n["text"])
-        plain = re.sub(r"\[/?[a-z]+\]|^#+ |^- ", "", body, flags=re.M)
-        plain = re.sub(r"\[[^|\]\s]+\|([^\]]*)\]", r"\1", plain).replace("_", "")
-        title = walk.title()
-        return {"title": title, "markup": f"---\ntitle: {title}\n---\n\n{body}\n", "coverage": round(seen(plain) / mass, 3) if mass else 1.0, "error": None}
-    except Exception as e:  # one page that fails doesn't stop the others
-        return {"title": None, "markup": None, "coverage": None, "error": f"{type(e).__name__}: {e}"}
-
-
-convert_page = F.udf(convert, T.StructType().add("title", "string").add("markup", "string").add("coverage", "double").add("error", "string"), useArrow=True)
 
 _WRAP = {"epi": ("<blockquote class=\"epi\">", "</blockquote>"), "quote": ("<blockquote>", "</blockquote>"), "sig": ("<p class=\"sig\">", "</p>"), "sub": ("<p class=\"sub\">", "</p>"), "poem": ("<div class=\"poem\">", "</div>")}
 
@@ -209,50 +112,3 @@ def markdown(text: str) -> str:
 
 
 markdown_html = F.udf(lambda s: None if s is None else markdown(s), T.StringType(), useArrow=True)
-
-#: Classes of note containers, note numbers and back links (fixed values).
-NOTE_BOXES, NOTE_NUMBERS, BACK = {"notes", "footnotes", "references"}, {"num", "marker"}, {"back", "backref"}
-NOTE_ROW = T.StructType().add("pos", "integer").add("grp", "string").add("id", "long").add("glyph", "string").add("body", "string")
-
-
-def harvest(html: str | None) -> list[dict]:
-    """Notes of a page: items of note containers, with number, series glyph and text.
-
-    The number is that of the marker span, else of the back link, else the last digits of the item's
-    id.  With one container notes have no group; with several they are s1, s2 and so on.  A
-    container inside another belongs to it.
-    """
-    walk = _Walk(tree(html))
-    nodes = walk.nodes
-    names = lambda n: set(n["attrs"].get("class", "").split())
-
-    def below(i: int):
-        for k in walk.kids.get(i, ()):
-            yield k
-            yield from below(k)
-
-    boxes, inside = [], set()
-    for n in nodes:
-        if names(n) & NOTE_BOXES and n["id"] not in inside:
-            boxes.append(n["id"])
-            inside |= set(below(n["id"]))
-    out = []
-    for b, box in enumerate(boxes, 1):
-        for i in below(box):
-            if nodes[i]["tag"] != "li":
-                continue
-            own = list(below(i))
-            marker = next((k for k in own if names(nodes[k]) & NOTE_NUMBERS), None)
-            back = next((k for k in own if nodes[k]["tag"] == "a" and (names(nodes[k]) & BACK or "ref" in nodes[k]["attrs"].get("href", ""))), None)
-            text = "" if marker is None else "".join(map(walk.inline, walk.kids.get(marker, ()))).strip()
-            sources = (text, "" if back is None else nodes[back]["attrs"].get("href", ""), nodes[i]["attrs"].get("id", ""))
-            digits = [re.findall(r"\d+", s) for s in sources]
-            glyph = re.sub(r"[\d\s.):]+", "", text)
-            skip = {k for k in (marker, back) if k is not None}
-            body = "".join(walk.inline(k) for k in walk.kids.get(i, ()) if k not in skip)
-            number = next((int(d[-1]) for d in digits if d), None)
-            out.append({"pos": len(out), "grp": f"s{b}" if len(boxes) > 1 else None, "id": number, "glyph": glyph if 0 < len(glyph) <= 2 else None, "body": " ".join(body.split())})
-    return out
-
-
-harvest_notes = F.udf(harvest, T.ArrayType(NOTE_ROW), useArrow=True)

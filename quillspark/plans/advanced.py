@@ -91,17 +91,6 @@ def nested_anchors(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (e.unnested(e.unnested("html")) == e.unnested("html")).alias("same"), e.unnested(flat).alias("fixed"))
 
 
-@register("convert_pages", "C23 C24 C27 C28 C29 C34 C39 C52 F9", None)
-def convert_pages(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", convert.convert_page("html").alias("r")).select("page_id", "r.title", "r.markup", "r.coverage", "r.error")
-
-
-@register("convert_coverage", "F9 F19 L8", "SELECT count(*) AS n, 0::BIGINT AS errors, count(*) AS covered FROM pages")
-def convert_coverage(spark, sf_dir):
-    rows = convert_pages(spark, sf_dir)
-    return rows.agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.count_if(F.col("coverage").between(0.9, 1.2)).alias("covered"))
-
-
 @register("render_documents", "B1 J7 J8 M1 M2 M3", """
 SELECT p_partkey, '<h2>'||p_name||'</h2>'||chr(10)||'<p>see <a href="A1.html">T</a> <em>'||p_type||'</em><sup><a href="#note-1">[1]</a></sup></p>'||chr(10)||'<ol><li id="note-1">'||p_brand||'</li></ol>' AS html FROM part""")
 def render_documents(spark, sf_dir):

@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from quillspark.plans import advanced, markup, more, relational, scalar, web  # noqa: F401
+from quillspark.plans import advanced, imports, markup, more, relational, scalar, web  # noqa: F401

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillspark.functions import markup as m, text as t
-from quillspark.operators import convert, edits as e, verse
+from quillspark.operators import edits as e, importer, verse
 from quillspark.plans.registry import register
 from quillspark.sources.tables import literal, table
 
@@ -34,7 +34,7 @@ def harvest_notes(spark, sf_dir):
         '<section class="notes"><ol><li id="x1"><span class="num">¤', s("s_nationkey"), "</span> ", F.col("s_name"), '</li><li><a href="#ref-', (F.col("s_nationkey") + 1).cast("string"),
         '">^</a> see <em>it</em></li></ol></section><p>text</p><div class="footnotes"><ul><li id="note-7">last</li></ul></div>',
     )
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(convert.harvest_notes(html)).alias("n")).select("s_suppkey", "n.*")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(importer.harvest_notes(html)).alias("n")).select("s_suppkey", "n.*")
 
 
 @register("term_candidates", "C53", """

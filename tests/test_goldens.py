@@ -6,7 +6,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import markup as m
-from quillspark.operators import convert, edits, similarity, verse
+from quillspark.operators import convert, edits, importer, similarity, verse
 from quillspark.sources import files
 from quillspark.streaming import machine
 
@@ -76,9 +76,9 @@ def test_balanced_json_and_regions():
 
 def test_convert_covers_and_isolates():
     page = "<html><head><title>t</title></head><body><h1>T</h1><div><h2>Two</h2><p>a <em>b</em><br>c</p><ul><li>x</li></ul></div></body></html>"
-    out = convert.convert(page)
+    out = importer.imported(page)
     assert out["title"] == "T" and "## Two" in out["markup"] and "a _b_\nc" in out["markup"] and out["coverage"] == 1.0
-    assert convert.convert(None)["error"] is None
+    assert importer.imported(None)["error"] is None
     html = convert.render(out["markup"])["html"]
     assert "<h2>Two</h2>" in html and "<em>b</em>" in html
 
