@@ -114,7 +114,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillspark.llm import rules
 
-    judged = rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = rules.judge(read(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     counts = [F.col(f"{rules.HELD}.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     failed, kept = F.col("__verdict.base_failed"), F.col("__verdict.kept")
     return judged.select("doc_id", *counts, failed.alias("base_failed"), (~failed & kept).alias("kept"), F.col("__verdict.good").alias("good_probability"))

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quillspark.llm.common import fresh, map_blocks
+from quillspark.llm.common import checkpointed, fresh, map_blocks
 from quillspark.llm.textstats import line_counts, word_stats
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "caps_words", "same_words", "plain_words", "exclaims", "distinct_words", "n_repeat_words", "n_lines", "n_dup_lines")
@@ -25,11 +25,12 @@ HELD = "__counts"
 BAD, ABSTAIN, GOOD = 0, 1, 2
 
 
-def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows with their counts in the struct column ``__counts``, which replaces one of that name."""
+def with_counts(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """The rows with their counts in the struct column ``__counts``, which replaces one of that name;
+    the text goes unless ``keep_text``."""
     text = fresh(docs, "__t")
-    carried = [c for c in docs.columns if c != HELD]
-    fields = [f for f in docs.schema.fields if f.name != HELD]
+    fields = [f for f in docs.schema.fields if f.name != HELD and (keep_text or f.name != text_col)]
+    carried = [f.name for f in fields]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(text).to_pylist()
@@ -133,15 +134,17 @@ def base_failed() -> Column:
     return (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words"))
 
 
-def judge(docs: DataFrame, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, text_col: str = "text", cut: float = 0.5, keep_text: bool = True) -> DataFrame:
     """The rows with ``__counts`` and the struct ``__verdict`` of base_failed, good (posterior) and kept
-    (posterior of at least ``cut``).
+    (posterior of at least ``cut``); without their text unless ``keep_text``.
+
+    Texts are read once: rows and counts are checkpointed, and both the fit and the verdict read them there.
 
     Null and empty texts have counts of zero; equal rows are judged alike; an empty table
     gives no rows; the other columns, null or not, are carried and not looked at, but for
     columns named ``__counts`` or ``__verdict``, which are replaced.
     """
-    counted = with_counts(docs, text_col)
+    counted = checkpointed(with_counts(docs, text_col, keep_text))
     good = fit(counted).posterior()
     return counted.withColumn("__verdict", F.struct(base_failed().alias("base_failed"), good.alias("good"), (good >= cut).alias("kept")))
 
