@@ -44,10 +44,21 @@ def global_number(rows: DataFrame, by: str, ties: list[str], name: str = "rank")
 
 
 def chain(rows: DataFrame, by: str, ties: list[str], value: str) -> DataFrame:
-    """Rows with prev and next of ``value`` along the whole table's order, across all seams."""
-    numbered = global_number(rows, by, ties, "__rank")
-    step = lambda d, name: numbered.select((F.col("__rank") + d).alias("__rank"), F.col(value).alias(name))
-    return numbered.join(step(1, "prev"), "__rank", "left").join(step(-1, "next"), "__rank", "left").drop("__rank")
+    """Rows with rank, prev and next of ``value`` along the whole table's order, across all seams.
+
+    Neighbours come from windows inside ranges; at the ends of a range from a table with one row for each range.
+    """
+    cut = _ranged(rows, by)
+    w = Window.partitionBy("__range").orderBy(F.col(by).asc_nulls_first(), *ties)
+    placed = cut.withColumn("__at", F.row_number().over(w)).withColumn("__before", F.lag(value).over(w)).withColumn("__after", F.lead(value).over(w))
+    ends = placed.groupBy("__range").agg(F.max("__at").alias("__n"), F.min_by(value, "__at").alias("__first"), F.max_by(value, "__at").alias("__last"))
+    order = Window.orderBy("__range")  # RANGES + 1 rows at most
+    shift = F.coalesce(F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seam = ends.select("__range", "__n", shift.alias("__shift"), F.lag("__last").over(order).alias("__from"), F.lead("__first").over(order).alias("__to"))
+    both = placed.join(F.broadcast(seam), "__range")
+    both = both.withColumn("rank", F.col("__at") + F.col("__shift")).withColumn("prev", F.when(F.col("__at") == 1, F.col("__from")).otherwise(F.col("__before")))
+    both = both.withColumn("next", F.when(F.col("__at") == F.col("__n"), F.col("__to")).otherwise(F.col("__after")))
+    return both.drop("__range", "__at", "__before", "__after", "__n", "__shift", "__from", "__to")
 
 
 def seams(sections: DataFrame, section: str, order: list, value: str) -> DataFrame:

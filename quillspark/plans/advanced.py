@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillspark.operators import convert, edits as e, similarity as sim, verse
+from quillspark.operators import convert, edits as e, similarity as sim
 from quillspark.plans.registry import register
 from quillspark.sources import files
-from quillspark.sources.tables import literal, table
-from quillspark.streaming import events as stream, machine
+from quillspark.sources.tables import table
+from quillspark.streaming import events as stream
 
 L = F.lit
 
@@ -19,24 +19,6 @@ def fuzzy_best_match(spark, sf_dir):
     return sim.best_match(asked, "item_id", "text", table(spark, sf_dir, "part").select("p_name"), "p_name")
 
 
-_PAIRS = "(VALUES (1,'kitten','sitting',0.615385),(2,'abc','abc',1.0),(3,'','x',0.0),(4,'Oxygène (live)','oxygene',1.0),(5,'abcd','bcde',0.75)) AS t(id, a, b, score)"
-
-
-@register("similarity_ratios", "J12 J13", f"SELECT id, score::DOUBLE AS score FROM {_PAIRS}")
-def similarity_ratios(spark, sf_dir):
-    return literal(spark, _PAIRS).select("id", F.round(sim.ratio_of(F.col("a"), F.col("b")), 6).alias("score"))
-
-
-@register("strip_combining_marks", "J13", "SELECT doc_id, md5(strip_accents(left(text,200))) AS folded FROM documents WHERE lang IN ('fr','es')")
-def strip_combining_marks(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("lang in ('fr','es')").select("doc_id", F.md5(sim.folded(F.left("text", L(200)))).alias("folded"))
-
-
-@register("strip_combining_marks_whole", "J13", "SELECT doc_id, md5(strip_accents(text)) AS folded FROM documents")
-def strip_combining_marks_whole(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(sim.folded("text")).alias("folded"))
-
-
 @register("slot_canonicalisation", "E9 F20 J14", """
 SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'SWAP' WHEN 2 THEN 'FILL' WHEN 3 THEN 'FILLBOTH' ELSE 'NODB' END AS action, CASE WHEN p_partkey%2=0 THEN 'keep' ELSE 'swap' END AS split FROM part""")
 def slot_canonicalisation(spark, sf_dir):
@@ -85,27 +67,81 @@ def html_tree_counts(spark, sf_dir):
     return nodes.groupBy("page_id").agg(of("li"), of("a"), of("h1"))
 
 
-@register("nested_anchors", "J32 J31", "SELECT page_id, true AS same, 'a<a href=x>b c d</a>e' AS fixed FROM pages")
-def nested_anchors(spark, sf_dir):
-    flat = L("a<a href=x>b <a href=y>c</a> d</a>e")
-    return table(spark, sf_dir, "pages").select("page_id", (e.unnested(e.unnested("html")) == e.unnested("html")).alias("same"), e.unnested(flat).alias("fixed"))
+_TOP = '<a class="back-to-toc" href="#article-title" title="К началу статьи">↑</a>'
+_BACK = 'title="Вернуться к месту в тексте">↑</a> '
 
 
-@register("render_documents", "B1 J7 J8 M1 M2 M3", """
-SELECT p_partkey, '<h2>'||p_name||'</h2>'||chr(10)||'<p>see <a href="A1.html">T</a> <em>'||p_type||'</em><sup><a href="#note-1">[1]</a></sup></p>'||chr(10)||'<ol><li id="note-1">'||p_brand||'</li></ol>' AS html FROM part""")
+@register("render_documents", "B1 J7 J8 M1 M2 M3 E16", f"""
+SELECT p_partkey, '<h2 id="s1">'||p_name||' {_TOP}</h2>'||chr(10)||'<p>see <a class="internal" href="A1.html">T</a> <em>'||p_type||'</em><sup id="cite_ref-1"><a href="#cite_note-1">[1]</a></sup> a &lt; b<br>'||chr(10)||'<a class="broken" href="#">[[B2]]</a></p>'||chr(10)
+ ||'<h2 id="notes">Примечания {_TOP}</h2>'||chr(10)||'<ol class="notes">'||chr(10)||'<li id="cite_note-1" value="1"><a class="backref" href="#cite_ref-1" {_BACK}'||p_brand||'</li>'||chr(10)||'</ol>' AS html, NULL::VARCHAR AS error FROM part""")
 def render_documents(spark, sf_dir):
-    src = F.concat(L("---\ntitle: x\n---\n\n## "), F.col("p_name"), L("\n\nsee [[A1]] _"), F.col("p_type"), L("_[^1]\n\n[^1]: "), F.col("p_brand"))
-    render = F.udf(lambda s: convert.render(s, {"A1": "T"}), "struct<html:string,headings:int,error:string>", useArrow=True)
-    return table(spark, sf_dir, "part").select("p_partkey", render(src)["html"].alias("html"))
-
-
-_CAPS = "(VALUES (1,'ДА БУДЕТ СВЕТ! И СТАЛО'),(2,'обычная строка'),(3,'<b>РОЗА</b> МИРА'),(4,'^ОН сказал')) AS t(id, line)"
-
-
-@register("fold_capitals", "J6", """
-SELECT * FROM (VALUES (1,'<span class="sb">Да будет свет! И стало</span>'),(2,'обычная строка'),(3,'<span class="sb"><b>роза</b> мира</span>'),(4,'Он сказал')) AS t(id, line)""")
+    src = F.concat(L("---\ntitle: x\n---\n\n## "), F.col("p_name"), L(" {s1}\n\nsee [[A1]] _"), F.col("p_type"), L("_[^1] a < b\n[[B2]]\n\n[^1]: "), F.col("p_brand"))
+    render = convert.renderer(convert.Context(titles={"A1": "T"}))
+    return table(spark, sf_dir, "part").select("p_partkey", render(src).alias("r")).select("p_partkey", "r.html", "r.error")
+
+
+@register("render_inline", "J7 J8 E1 E2 E25 J39 A20", """
+SELECT s_suppkey, '<p><a class="reference" href="http://b/c1/00'||(s_suppkey%4+1)||'.html">Book, chapter one, '||n_name||'</a> '
+ ||CASE WHEN s_suppkey%3=0 THEN '<a class="reference" href="http://b/c1/001.html#p9">Book, chapter one, ' || (SELECT n_name FROM nation WHERE n_nationkey=1) || ', § 9</a>' ELSE '<a class="broken" href="#">{c1||'||(s_suppkey%3)||'}</a>' END
+ ||' <a class="reference" href="http://b/c1/">Book, chapter one</a> <span class="leit">'||s_name||'</span> <a href="http://x" target="_blank" rel="noopener">http://x</a> <span class="glyph">;::))</span> <span class="spoiler"><span class="spoiler-content"><em>h</em></span></span> snake_case_'||s_suppkey||'</p>' AS html
+FROM supplier JOIN nation ON n_nationkey=s_suppkey%4+1""")
+def render_inline(spark, sf_dir):
+    """References to an article, to a paragraph whose article the index knows, to a chapter; then the later passes."""
+    known = [r for r in table(spark, sf_dir, "nation").filter("n_nationkey between 1 and 4").select("n_nationkey", "n_name").collect()]  # four rows of the index
+    context = convert.Context(chapters={"c1": "chapter one"}, articles={f"c1/{r[0]}": r[1] for r in known}, paragraphs={"c1/9": "1"}, base="http://b", book="Book")
+    k, number = F.col("s_suppkey"), (F.col("s_suppkey") % 4 + 1).cast("string")
+    para = F.when(k % 3 == 0, "9").otherwise((k % 3).cast("string"))
+    src = F.concat(L("{c1|"), number, L("} {c1||"), para, L("} {c1|} {leit|"), F.col("s_name"), L("} [http://x] ;::)) [spl]_h_[/spl] snake_case_"), k.cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", convert.renderer(context)(src)["html"].alias("html"))
+
+
+@register("render_groups", "E17 E16 E18 C5 C6 G9", f"""
+SELECT n_nationkey, '<p>a<sup id="cite_ref-g-1"><a href="#cite_note-g-1">¤1</a></sup> b<sup id="cite_ref-g-1-extra1"><a href="#cite_note-g-1">¤1</a></sup><sup id="cite_ref-star2"><a href="#cite_note-star2">**</a></sup></p>'||chr(10)
+ ||'<ol class="notes">'||chr(10)||'<li class="anon" id="cite_note-g-1"><a class="backref" href="#cite_ref-g-1" {_BACK}¤1 '||n_name||'</li>'||chr(10)||'</ol>'||chr(10)||'<!-- orphan-refs group="g" -->'||chr(10)||'<!-- orphan-refs group="none" -->'||chr(10)
+ ||'<h2 id="notes">Links {_TOP}</h2>'||chr(10)||'<ol class="notes">'||chr(10)||'<li id="cite_note-7" value="7">never asked<br>'||chr(10)||'second line</li>'||chr(10)||'<li class="anon" id="cite_note-star2"><a class="backref" href="#cite_ref-star2" {_BACK}** stars</li>'||chr(10)
+ ||'<li class="anon anon-bare">bare</li>'||chr(10)||'<li class="anon">См. также: '||n_regionkey||'</li>'||chr(10)||'</ol>' AS html FROM nation""")
+def render_groups(spark, sf_dir):
+    """Notes of a group stand once, where their mark is; a mark repeated or without notes is flagged; the rest stands at the end."""
+    src = F.concat(L("---\nnotes_title: Links\n---\na[^g.1] b[^g.1][^**]\n\n[refs=g glyph=¤]\n\n[refs=g]\n\n[refs=none]\n\n[^g.1]: "), F.col("n_name"), L("\n[^7]: never asked\n    second line\n[^**]: stars\n[^]: bare\n[^|См. также]: "), F.col("n_regionkey").cast("string"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", convert.renderer(convert.Context())(src)["html"].alias("html"))
+
+
+@register("render_contents", "G14 C7 B16", f"""
+SELECT n_nationkey, '<details class="article-toc nonum"><summary>Содержание</summary><ol><li><a href="#first">First</a><ol><li><a href="#s'||n_nationkey||'">'||n_name||'</a></li><li><a href="#deep-two">Deep two</a></li></ol></li><li><a href="#last-one">Last one</a></li></ol></details>'||chr(10)
+ ||'<h2 id="first">First {_TOP}</h2>'||chr(10)||'<h3 id="s'||n_nationkey||'">'||n_name||' {_TOP}</h3>'||chr(10)||'<h3 id="deep-two">Deep two {_TOP}</h3>'||chr(10)||'<h2 id="last-one">Last one {_TOP}</h2>' AS html, 4 AS headings FROM nation""")
+def render_contents(spark, sf_dir):
+    src = F.concat(L("[toc collapsed nonum]\n\n## First\n\n### "), F.col("n_name"), L(" {s"), F.col("n_nationkey").cast("string"), L("}\n\n### Deep two\n\n## Last one\n\n[toc]"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", convert.renderer(convert.Context())(src).alias("r")).select("n_nationkey", "r.html", "r.headings")
+
+
+@register("render_verse_blocks", "C19 C21 G15 C11 G13", """
+WITH w AS (SELECT p_partkey, upper(p_name[1])||p_name[2:] AS cap, p_name, p_name[1] AS c, p_name[2:] AS t, p_partkey%2=0 AS shown FROM part)
+SELECT p_partkey, CASE WHEN shown THEN '<div class="faw"><div class="faw-p"><span class="faw-l a"><span class="faw-cap">'||c||'</span>'||t||'</span>'||chr(10)||'<span class="faw-l b faw-se"><span class="faw-cap">t</span>wo [x|y]</span>'||chr(10)||'<span class="faw-l a"><span class="faw-cap">t</span>hree</span></div></div>'
+ ELSE '<p>'||p_name||' two [x|y] three</p>' END||chr(10)||'<div class="poem">'||CASE WHEN shown THEN '<span class="sb">Да будет свет'||chr(10)||'И стало так</span>'||chr(10)||'строка' ELSE 'ДА БУДЕТ СВЕТ'||chr(10)||'И СТАЛО ТАК'||chr(10)||'строка' END||'</div>' AS html FROM w""")
+def render_verse_blocks(spark, sf_dir):
+    """Free verse is lines in turn where the document switches it on, else prose; capitals fold where switched on."""
+    shown = F.col("p_partkey") % 2 == 0
+    front = F.when(shown, "---\ncaps: да\nallow_faw: on\n---\n").otherwise("---\ncaps: no\n---\n")
+    src = F.concat(front, L("[faw sta=2]\n"), F.col("p_name"), L(" | two [x|y] |  three\n[/faw]\n\n[poem]\nДА БУДЕТ СВЕТ\nИ СТАЛО ТАК\nстрока\n[/poem]"))
+    return table(spark, sf_dir, "part").select("p_partkey", convert.renderer(convert.Context())(src)["html"].alias("html"))
+
+
+@register("render_failures", "B1 L8", "SELECT p_partkey, p_partkey%4=0 AS failed FROM part")
+def render_failures(spark, sf_dir):
+    """A document whose note has no end of numbers fails by itself: it has an error and no HTML, the others go on."""
+    body = F.when(F.col("p_partkey") % 4 == 0, F.concat(L("a[^"), F.repeat(L("9"), L(5000)), L("]"))).otherwise(F.col("p_name"))
+    done = table(spark, sf_dir, "part").select("p_partkey", convert.renderer(convert.Context())(body).alias("r"))
+    return done.select("p_partkey", (F.col("r.error").isNotNull() & F.col("r.html").isNull()).alias("failed"))
+
+
+@register("fold_capitals", "J6 D5 D8", """
+SELECT s_suppkey, CASE WHEN s_suppkey%3=0 THEN '<span class="sb">'||s||' будет <b>Роза</b> мира. И '||n||' стало</span>' WHEN s_suppkey%3=1 THEN 'Обычная строка '||s_name ELSE '<span class="sb">Свят Благословен Он царь</span>' END AS line
+FROM (SELECT *, 'Да' AS s, s_suppkey::VARCHAR AS n FROM supplier)""")
 def fold_capitals(spark, sf_dir):
-    return literal(spark, _CAPS).select("id", convert.folded_capitals("line").alias("line"))
+    k = F.col("s_suppkey")
+    line = F.when(k % 3 == 0, F.concat(L("ДА БУДЕТ <b>РОЗА</b> МИРА. И "), k.cast("string"), L(" СТАЛО"))).when(k % 3 == 1, F.concat(L("^ОБЫЧНАЯ строка "), F.col("s_name"))).otherwise("СВЯТ БЛАГОСЛОВЕН ОН ЦАРЬ")
+    folded = F.udf(lambda s: convert.capitals(s, frozenset({"РОЗА"})), "string", useArrow=True)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", folded(line).alias("line"))
 
 
 @register("markdown_reports", "B5", "SELECT n_nationkey, '<h2>'||n_name||'</h2>'||chr(10)||'<ul><li><b>'||n_regionkey||'</b></li><li>x</li></ul>'||chr(10)||'<table><tr><td>a|b</td><td>c</td></tr></table>' AS html FROM nation")
@@ -114,44 +150,6 @@ def markdown_reports(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", convert.markdown_html(src).alias("html"))
 
 
-_POEM = "(VALUES (1,'Буря мглою небо кроет, Вихри снежные крутя; То, как зверь, она завоет, То заплачет, как дитя.')) AS t(id, poem)"
-
-
-@register("verse_split", "G19 G20 G22 DM18 J24", """
-SELECT * FROM (VALUES (1,'Буря мглою небо кроет,',8),(2,'Вихри снежные крутя; То,',8),(3,'как зверь, она завоет,',7),(4,'То заплачет, как дитя.',7)) AS t(line_no, line, syllables)""")
-def verse_split(spark, sf_dir):
-    lines = literal(spark, _POEM).select(F.posexplode(verse.split_verse("poem", L(8))["lines"]).alias("pos", "l"))
-    return lines.select((F.col("pos") + 1).alias("line_no"), F.col("l.text").alias("line"), F.col("l.syllables").cast("int").alias("syllables"))
-
-
-@register("verse_meter", "G21 G22 M5", None)
-def verse_meter(spark, sf_dir):
-    once = verse.marked(F.col("poem"), L(8))
-    return literal(spark, _POEM).select(verse.split_verse("poem", L(None).cast("int"))["meter"].alias("meter"), (verse.marked(once, L(8)) == once).alias("stable"))
-
-
-_TOKENS = "(VALUES (1,'a b c b c d','b c d',4),(2,'x y x y','x y',0),(3,'p q','z',0)) AS t(id, line, part, at_token)"
-
-
-@register("token_subsequences", "E23", f"SELECT id, at_token FROM {_TOKENS}")
-def token_subsequences(spark, sf_dir):
-    tokens, wanted = F.split("line", " "), F.split("part", " ")
-    places = F.filter(F.sequence(L(1), F.greatest(F.size(tokens) - F.size(wanted) + 1, L(1))), lambda i: F.slice(tokens, i, F.size(wanted)) == wanted)
-    return literal(spark, _TOKENS).select("id", F.when(F.size(places) == 1, places[0]).otherwise(0).alias("at_token"))
-
-
-@register("decode_charsets", "A7", "SELECT * FROM (VALUES (1,'Да'),(2,'a�b')) AS t(id, line)")
-def decode_charsets(spark, sf_dir):
-    rows = literal(spark, "(VALUES (1,'C4E0'),(2,'619862')) AS t(id, raw)")
-    return rows.select("id", files.decoded(F.unhex("raw")).alias("line"))
-
-
-@register("paged_listing", "A6", "SELECT * FROM (VALUES (0,0,'a'),(0,1,'b'),(50,1,'c')) AS t(page_offset, pos, item)")
-def paged_listing(spark, sf_dir):
-    rows = spark.createDataFrame([(0, ["a", "b"]), (50, ["a", "c"]), (100, ["x"]), (150, ["y", "z"])], "offset int, items array<string>")
-    return files.pages_of(rows, 2).filter("offset <= 50").select(F.col("offset").alias("page_offset"), "pos", "item")
-
-
 @register("publish_only_changes", "B13 B14 B21", "SELECT p_partkey FROM part WHERE p_partkey%4=0 OR p_partkey%10=9")
 def publish_only_changes(spark, sf_dir):
     new = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -159,26 +157,8 @@ def publish_only_changes(spark, sf_dir):
     return files.publish_changed(new, old, "p_partkey").select("p_partkey")
 
 
-_POLLS = """(VALUES (1,0,'poll'),(1,10,'live'),(2,0,'poll'),(2,50,'failed'),(2,210,'poll'),(2,220,'dismiss'),(3,0,'poll'),(3,20,'failed'),(3,100,'poll')) AS t(id, at_s, kind)"""
-
-
-@register("retry_state_machine", "L1 L2 L9 L10", "SELECT * FROM (VALUES (1,'ready',0::BIGINT),(2,'dismissed',2::BIGINT),(3,'waiting',0::BIGINT)) AS t(id, phase, tries)")
-def retry_state_machine(spark, sf_dir):
-    return machine.replay_all(literal(spark, _POLLS), "id", "at_s", "kind")
-
-
 @register("stream_windowed_counts", "L3 L5", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1,2")
 def stream_windowed_counts(spark, sf_dir):
     return stream.run_once(stream.windowed(stream.source(spark, sf_dir)))
 
 
-@register("outside_regions", "J27 J17", "SELECT doc_id, md5('<i>keep  it</i>' || regexp_replace(left(text,60),' +','_','g')) AS changed FROM documents")
-def outside_regions(spark, sf_dir):
-    change = F.udf(lambda s: e.outside(s, "<i>", "</i>", lambda x: __import__("re").sub(" +", "_", x)), "string", useArrow=True)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(change(F.concat(L("<i>keep  it</i>"), F.left("text", L(60))))).alias("changed"))
-
-
-@register("outside_regions_whole", "J27 J17", "SELECT doc_id, md5('<i>keep  it</i>' || regexp_replace(text,' +','_','g')) AS changed FROM documents")
-def outside_regions_whole(spark, sf_dir):
-    change = F.udf(lambda s: e.outside(s, "<i>", "</i>", lambda x: __import__("re").sub(" +", "_", x)), "string", useArrow=True)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(change(F.concat(L("<i>keep  it</i>"), F.col("text")))).alias("changed"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from quillspark.functions import markup as m, text as t
-from quillspark.operators import edits as e, importer, verse
+from quillspark.operators import edits as e, importer
 from quillspark.plans.registry import register
-from quillspark.sources.tables import literal, table
+from quillspark.sources.tables import table
 
 L = F.lit
 
@@ -69,16 +69,6 @@ def see_also_links(spark, sf_dir):
     return found.select("s_suppkey", F.substring_index("x", "|", -1).alias("label"), F.substring_index("x", "|", 1).alias("href"))
 
 
-_POEM = "(VALUES (1,'Буря мглою небо кроет, Вихри снежные крутя; То, как зверь, она завоет.')) AS t(id, poem)"
-
-
-@register("verse_dump", "C55 G24", """
-SELECT * FROM (VALUES ('001 8   Буря мглою небо кроет,'),('002 8   Вихри снежные крутя; То,'),('003 7 ! как зверь, она завоет.')) AS t(line)""")
-def verse_dump(spark, sf_dir):
-    rows = literal(spark, _POEM).select(F.posexplode(verse.split_verse("poem", L(8))["lines"]).alias("pos", "l"))
-    return rows.select(F.format_string("%03d %d %s %s", F.col("pos") + 1, F.col("l.syllables"), F.when(F.col("l.syllables") != 8, "!").otherwise(" "), F.col("l.text")).alias("line"))
-
-
 @register("first_token_labels", "G24", """
 SELECT p_partkey, unnest(range(0, len(string_split(p_name,' '))))::INT AS pos, unnest(string_split(p_name,' ')) AS token, unnest(list_transform(range(0, len(string_split(p_name,' '))), lambda i: CASE WHEN i=0 THEN p_brand END)) AS label FROM part""")
 def first_token_labels(spark, sf_dir):
@@ -86,16 +76,6 @@ def first_token_labels(spark, sf_dir):
     return tokens.select("p_partkey", "pos", "token", F.when(F.col("pos") == 0, F.col("p_brand")).alias("label"))
 
 
-_ITALICS = "(VALUES (1,'a _word_ b'),(2,'snake_case_name'),(3,'_x_, y'),(4,'[[A1]] [note] [u|v]'),(5,'none')) AS t(id, line)"
-
-
-@register("italic_candidates", "D9 J28", "SELECT * FROM (VALUES (1,true,'a _word_ b'),(2,false,'snake_case_name'),(3,true,'_x_, y'),(4,false,'[[A1]] _note_ [u|v]'),(5,false,'none')) AS t(id, italic, line)")
-def italic_candidates(spark, sf_dir):
-    line = F.col("line")
-    italic = line.rlike(r"(?U)(?<![\w/])_[^_\n]{1,60}_(?!\w)")
-    return literal(spark, _ITALICS).select("id", italic.alias("italic"), F.regexp_replace(line, r"(?<!\[)\[([^\[\]|^]{1,60})\](?![\](])", "_$1_").alias("line"))
-
-
 @register("built_pages", "D17", "SELECT page_id, contains(html,'<article') AND contains(html,'</html>') AS built FROM pages")
 def built_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", (F.contains("html", L("<article")) & F.contains("html", L("</html>"))).alias("built"))
@@ -108,14 +88,6 @@ def title_pattern(title):
     return F.concat(L("(?i)"), F.array_join(F.transform(words, one), r"[^0-9A-Za-zА-Яа-яЁё]*"))
 
 
-@register("title_patterns", "J29 E6", """
-SELECT p_partkey, true AS same, true AS bent, p_name='red ring' AS other FROM part""")
-def title_patterns(spark, sf_dir):
-    pattern = title_pattern(F.col("p_name"))
-    bent = F.array_join(F.transform(F.split("p_name", " "), lambda w: F.when(F.length(w) >= 5, F.concat(F.left(w, F.length(w) - 1), L("ing"))).otherwise(w)), "», ")
-    return table(spark, sf_dir, "part").select("p_partkey", F.regexp_like(F.upper("p_name"), pattern).alias("same"), F.regexp_like(bent, pattern).alias("bent"), (F.regexp_like(L("red ring"), pattern) & (F.col("p_name") == "red ring")).alias("other"))
-
-
 @register("dry_run_and_apply", "B14 M6", "SELECT 'changed' AS outcome, count(*) AS n FROM part WHERE p_size>25 UNION ALL SELECT 'unchanged', count(*) FROM part WHERE p_size<=25")
 def dry_run_and_apply(spark, sf_dir):
     new = F.when(F.col("p_size") > 25, t.html_escape(cat(F.col("p_name"), "&"))).otherwise(F.col("p_name"))
@@ -128,16 +100,6 @@ def note_marker_round_trip(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", m.frontmatter(src)["title"].alias("title"))
 
 
-@register("sql_functions", "M1 M3 M5", """
-SELECT p_partkey, '<h2>'||p_name||'</h2>' AS html, 1.0::DOUBLE AS same, p_size::BIGINT AS blocks FROM part WHERE p_size=1""")
-def sql_functions(spark, sf_dir):
-    from quillspark.functions.registered import register as names
-
-    names(spark)
-    table(spark, sf_dir, "part").createOrReplaceTempView("qs_part")
-    return spark.sql("SELECT p_partkey, qs_render(concat('## ', p_name)).html AS html, qs_similarity(p_name, upper(p_name)) AS same, CAST(size(qs_parse(concat('## ', p_name)).blocks) AS BIGINT) AS blocks FROM qs_part WHERE p_size = 1")
-
-
 @register("trailing_elements", "J31 D12", "SELECT n_nationkey, 'div' AS last_tag, '<div id='||n_nationkey||'>z</div>' AS tail FROM nation")
 def trailing_elements(spark, sf_dir):
     html = cat("<p>a</p><div id=", s("n_nationkey"), ">z</div>\n")

@@ -22,17 +22,6 @@ def nav_prev_next_section(spark, sf_dir):
     return seq.neighbours(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], "o_orderkey").select("o_orderkey", "prev", "next")
 
 
-@register("nav_global_chain", "G2 G4", """
-SELECT o_orderkey, row_number() OVER w AS rank, lpad(row_number() OVER w::VARCHAR,6,'0') AS number, lag(o_orderkey) OVER w AS prev, lead(o_orderkey) OVER w AS next FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey)""")
-def nav_global_chain(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").withColumn("day", F.unix_date(F.to_date("o_orderdate")).cast("long"))
-    ranked = seq.global_number(orders, "day", ["o_orderkey"])
-    ends = ranked.select("rank", "o_orderkey")
-    prev = ends.select((F.col("rank") + 1).alias("rank"), F.col("o_orderkey").alias("prev"))
-    after = ends.select((F.col("rank") - 1).alias("rank"), F.col("o_orderkey").alias("next"))
-    return ranked.join(prev, "rank", "left").join(after, "rank", "left").select("o_orderkey", "rank", F.lpad(F.col("rank").cast("string"), 6, "0").alias("number"), "prev", "next")
-
-
 @register("nav_global_seams", "G3 H1", """
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS u, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS d FROM nation)
 SELECT DISTINCT n_regionkey, n_nationkey FROM r WHERE (u=1 AND n_regionkey<>(SELECT min(n_regionkey) FROM nation)) OR (d=1 AND n_regionkey<>(SELECT max(n_regionkey) FROM nation))""")
@@ -153,32 +142,6 @@ def composite_references(spark, sf_dir):
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "by_article", "by_paragraph", state.alias("state"), href.alias("href"))
 
 
-@register("explode_tile_links", "E3 DM8", """
-WITH t AS (SELECT p_partkey, unnest(string_split(p_partkey||':own,'||(p_partkey%7)||','||(p_partkey%40),',')) AS x FROM part WHERE p_partkey%3=0),
-s AS (SELECT p_partkey, split_part(x,':',1)::BIGINT AS id, nullif(split_part(x,':',2),'') AS own FROM t)
-SELECT s.p_partkey, id, coalesce(own, n_name, id::VARCHAR) AS label FROM s LEFT JOIN nation ON n_nationkey=id""")
-def explode_tile_links(spark, sf_dir):
-    key = F.col("p_partkey")
-    links = F.concat(key.cast("string"), L(":own,"), (key % 7).cast("string"), L(","), (key % 40).cast("string"))
-    tiles = table(spark, sf_dir, "part").filter(key % 3 == 0).select(key, F.explode(F.split(links, ",")).alias("x"))
-    ids = tiles.select("p_partkey", F.split_part("x", L(":"), L(1)).cast("long").alias("id"), F.nullif(F.split_part("x", L(":"), L(2)), L("")).alias("own"))
-    titles = table(spark, sf_dir, "nation").select(big(F.col("n_nationkey")).alias("id"), "n_name")
-    return ids.join(titles, "id", "left").select("p_partkey", "id", F.coalesce("own", "n_name", F.col("id").cast("string")).alias("label"))
-
-
-@register("explode_tile_links_whole", "E3 DM8", """
-WITH t AS (SELECT p_partkey, unnest(string_split(p_partkey||':own,'||(p_partkey%7)||','||(p_partkey%40),',')) AS x FROM part),
-s AS (SELECT p_partkey, split_part(x,':',1)::BIGINT AS id, nullif(split_part(x,':',2),'') AS own FROM t)
-SELECT s.p_partkey, id, coalesce(own, n_name, id::VARCHAR) AS label FROM s LEFT JOIN nation ON n_nationkey=id""")
-def explode_tile_links_whole(spark, sf_dir):
-    key = F.col("p_partkey")
-    links = F.concat(key.cast("string"), L(":own,"), (key % 7).cast("string"), L(","), (key % 40).cast("string"))
-    tiles = table(spark, sf_dir, "part").select(key, F.explode(F.split(links, ",")).alias("x"))
-    ids = tiles.select("p_partkey", F.split_part("x", L(":"), L(1)).cast("long").alias("id"), F.nullif(F.split_part("x", L(":"), L(2)), L("")).alias("own"))
-    titles = table(spark, sf_dir, "nation").select(big(F.col("n_nationkey")).alias("id"), "n_name")
-    return ids.join(titles, "id", "left").select("p_partkey", "id", F.coalesce("own", "n_name", F.col("id").cast("string")).alias("label"))
-
-
 @register("link_outcomes", "E4 B14 E28", """
 SELECT CASE WHEN n=0 THEN 'no-file' WHEN flags=0 THEN 'no-link' WHEN flags=n THEN 'unchanged' WHEN o_orderstatus='F' THEN 'refixed' ELSE 'added' END AS outcome, count(*) AS n
 FROM (SELECT o_orderkey, any_value(o_orderstatus) AS o_orderstatus, count(l_orderkey) AS n, count(*) FILTER (l_returnflag='R') AS flags FROM orders LEFT JOIN lineitem ON l_orderkey=o_orderkey GROUP BY 1) GROUP BY 1""")
@@ -207,13 +170,6 @@ def reverse_lookup(spark, sf_dir):
     return asked.join(full, ["p_name", "brand"], "left").join(title, "p_name", "left").select("p_partkey", F.coalesce("full", "title").alias("found"), F.col("full").isNull().alias("by_title"))
 
 
-@register("full_outer_link_audit", "E11 I2 I4 F8 E30", """
-SELECT o_orderkey AS key, 'left' AS side FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) UNION ALL SELECT DISTINCT l_orderkey+7, 'right' FROM lineitem WHERE l_orderkey+7 NOT IN (SELECT o_orderkey FROM orders) AND false
-UNION ALL SELECT DISTINCT l_orderkey, 'right' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)""")
-def full_outer_link_audit(spark, sf_dir):
-    return joins.two_sided(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), "key")
-
-
 @register("soft_match", "E12", """
 WITH q AS (SELECT item_id, split_part(lower(text),' ',1) AS w FROM benchmark), p AS (SELECT DISTINCT p_name FROM part)
 SELECT item_id, min(p_name) AS name FROM q LEFT JOIN p ON contains(p_name, left(w,2)) GROUP BY 1""")

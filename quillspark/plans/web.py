@@ -65,22 +65,6 @@ def first_images(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.when(F.startswith(first, L("//")), F.concat(L("https:"), first)).when(F.startswith(first, L("/")), F.concat(L("https://x.example"), first)).otherwise(first).alias("image"))
 
 
-@register("bare_link_warnings", "D12", r"""
-WITH s AS (SELECT doc_id, left(text,30)||CASE WHEN doc_id%3=0 THEN ' https://a.b' WHEN doc_id%3=1 THEN ' [https://a.b|x]' ELSE '' END AS x FROM documents) SELECT doc_id, regexp_matches(x,'(^|[^\[|])https?://') AS warn FROM s""")
-def bare_link_warnings(spark, sf_dir):
-    body = F.concat(L("---\nurl: https://q\n---\n[mus]\nhttps://y\n[/mus]\n"), F.left("text", L(30)), F.when(F.col("doc_id") % 3 == 0, " https://a.b").when(F.col("doc_id") % 3 == 1, " [https://a.b|x]").otherwise(""))
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\A---\n.*?\n---\n", ""), r"(?s)\[mus[^\]]*\].*?\[/mus\]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", bare.rlike(r"(?<![\[|])https?://").alias("warn"))
-
-
-@register("bare_link_warnings_whole", "D12", r"""
-WITH s AS (SELECT doc_id, text||CASE WHEN doc_id%3=0 THEN ' https://a.b' WHEN doc_id%3=1 THEN ' [https://a.b|x]' ELSE '' END AS x FROM documents) SELECT doc_id, regexp_matches(x,'(^|[^\[|])https?://') AS warn FROM s""")
-def bare_link_warnings_whole(spark, sf_dir):
-    body = F.concat(L("---\nurl: https://q\n---\n[mus]\nhttps://y\n[/mus]\n"), F.col("text"), F.when(F.col("doc_id") % 3 == 0, " https://a.b").when(F.col("doc_id") % 3 == 1, " [https://a.b|x]").otherwise(""))
-    bare = F.regexp_replace(F.regexp_replace(body, r"(?s)\A---\n.*?\n---\n", ""), r"(?s)\[mus[^\]]*\].*?\[/mus\]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", bare.rlike(r"(?<![\[|])https?://").alias("warn"))
-
-
 @register("css_subjects", "J30 C40", """
 SELECT page_id, len(regexp_extract_all(regexp_extract(html,'<style>(.*?)</style>',1),'[^{}]+[{]'))::BIGINT AS rules, regexp_extract(html,'<style>([a-z]+)',1) AS subject FROM pages""")
 def css_subjects(spark, sf_dir):
@@ -159,13 +143,6 @@ def search_bm25_topk(spark, sf_dir):
     return bm25(table(spark, sf_dir, "documents"), literal(spark, _QUERIES))
 
 
-@register("sitemap", "B3 A5 H5", """
-SELECT '<urlset>'||string_agg('<url><loc>'||replace(url,'&','&amp;')||'</loc></url>','' ORDER BY page_id)||'</urlset>' AS xml, count(*) AS n FROM pages WHERE NOT contains(url,'#')""")
-def sitemap(spark, sf_dir):
-    urls = table(spark, sf_dir, "pages").filter(~F.contains("url", L("#"))).select("page_id", F.concat(L("<url><loc>"), t.html_escape(F.col("url")), L("</loc></url>")).alias("u"))
-    return urls.agg(F.concat(L("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", "u"))), lambda x: x["u"]), ""), L("</urlset>")).alias("xml"), F.count("*").alias("n"))
-
-
 @register("report_table", "B4 J34", """
 SELECT n_regionkey, string_agg('| '||n_nationkey||' | '||replace(n_name,'|',chr(92)||'|')||' |', chr(10) ORDER BY n_nationkey) AS report FROM nation GROUP BY 1""")
 def report_table(spark, sf_dir):

@@ -44,13 +44,13 @@ def comment_free(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("trim(value) <> '' and not trim(value) like '#%'").select(F.trim("value").alias("line"))
 
 
-def pages_of(listing_pages: DataFrame, size: int = 50) -> DataFrame:
-    """(offset, pos, item) of a paged listing up to and with its first short page; an item counts where it is first."""
-    n = F.size("items")
-    first_short = listing_pages.filter(n < size).agg(F.min("offset").alias("last"))  # one row
-    kept = listing_pages.crossJoin(F.broadcast(first_short)).filter(F.col("last").isNull() | (F.col("offset") <= F.col("last")))
-    rows = kept.select("offset", F.posexplode("items").alias("pos", "item"))
-    return rows.groupBy("item").agg(F.min(F.struct("offset", "pos")).alias("at")).select("at.offset", "at.pos", "item")
+def pages_of(listing_pages: DataFrame, size: int = 50, keys: list[str] | None = None) -> DataFrame:
+    """(keys, offset, pos, item) of paged listings up to and with each one's first short page; an item counts where it is first."""
+    keys = keys or []
+    first_short = listing_pages.filter(F.size("items") < size).groupBy(*keys).agg(F.min("offset").alias("last"))
+    known = listing_pages.join(first_short, keys, "left") if keys else listing_pages.crossJoin(F.broadcast(first_short))  # one row without keys
+    rows = known.filter(F.col("last").isNull() | (F.col("offset") <= F.col("last"))).select(*keys, "offset", F.posexplode("items").alias("pos", "item"))
+    return rows.groupBy(*keys, "item").agg(F.min(F.struct("offset", "pos")).alias("at")).select(*keys, "at.offset", "at.pos", "item")
 
 
 def publish(df: DataFrame, folder: str, partition: str | None = None) -> None:

@@ -45,17 +45,27 @@ def replay_all(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
     """(key, phase, tries) after all events of each key, in order of time.
 
     Transitions depend on the state before, so a key's events run in order in one task; they are
-    narrow (time and kind), and keys spread over tasks.
+    narrow (time and kind), read batch by batch, and only the state is kept.
     """
-    rows = events.select(key, F.col(at).cast("double").alias("at"), F.col(kind).alias("kind"))
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, phase string, tries long"
-
-    def run(k: tuple, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        got = pd.concat(list(batches) if not isinstance(batches, pd.DataFrame) else [batches]).sort_values(["at", "kind"])
-        end = replay(zip(got["at"], got["kind"]))
-        return pd.DataFrame({key: [k[0]], "phase": [end["phase"]], "tries": [end["tries"]]})
-
-    return rows.groupBy(key).applyInPandas(lambda k, pdf: run(k, pdf), schema)
+    rows = events.select(F.col(key).alias("key"), F.col(at).cast("double").alias("at"), F.col(kind).alias("kind"))
+    width = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [key, "phase", "tries"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, None
+        for batch in batches:
+            done = []
+            for k, when, what in zip(batch["key"], batch["at"], batch["kind"]):
+                if state is not None and k != held:
+                    done.append((held, state["phase"], state["tries"]))
+                    state = None
+                held, state = k, step(state or start(when), when, what)
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(held, state["phase"], state["tries"])], columns=names)
+
+    dealt = rows.repartition(width, "key").sortWithinPartitions("key", "at", "kind")
+    return dealt.mapInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, phase string, tries long")
 
 
 def batch_step(state: dict, outcome: str, now: float, reset: float | None = None) -> dict:
@@ -71,6 +81,31 @@ def batch_step(state: dict, outcome: str, now: float, reset: float | None = None
     return state | {"phase": "stalled" if stall >= MOST else "running", "stall": stall, outcome: state.get(outcome, 0) + 1}
 
 
+def run_batches(items: DataFrame, key: str, order: str, outcome: str) -> DataFrame:
+    """(key, ok, failed, phase) of the runner over each key's items in their order: narrow rows, a key's in one task,
+    read batch by batch with the state alone kept."""
+    rows = items.select(F.col(key).alias("key"), F.col(order).alias("at"), F.col(outcome).alias("outcome"))
+    width = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, state = None, None
+        for batch in batches:
+            done = []
+            for k, what in zip(batch["key"], batch["outcome"]):
+                if k != held and state is not None:
+                    done.append((held, state.get("ok", 0), state.get("fail", 0), state["phase"]))
+                if k != held or state is None:
+                    held, state = k, {"phase": "running", "stall": 0}
+                state = batch_step(state, what, 0.0)
+            yield pd.DataFrame(done, columns=names)
+        if state is not None:
+            yield pd.DataFrame([(held, state.get("ok", 0), state.get("fail", 0), state["phase"])], columns=names)
+
+    names = [key, "ok", "failed", "phase"]
+    dealt = rows.repartition(width, "key").sortWithinPartitions("key", "at")
+    return dealt.mapInPandas(run, f"{key} {items.schema[key].dataType.simpleString()}, ok long, failed long, phase string")
+
+
 def state_stream(events: DataFrame, key: str, at: str, kind: str) -> DataFrame:
     """(key, phase, tries) after each micro-batch in which a key has events, as an update stream.
 

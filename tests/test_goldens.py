@@ -46,7 +46,7 @@ def test_verse_costs():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 5), min_size=1, max_size=9), st.integers(5, 9))
 def test_verse_split_is_cheapest(sizes, meter):
-    groups = [("w", n) for n in sizes]
+    groups = [verse.Group("w", n, None, k, k + 1) for k, n in enumerate(sizes)]
     cost = lambda cuts: sum(verse.line_cost(sum(sizes[a:b]), meter) for a, b in cuts)
 
     def every(at):
