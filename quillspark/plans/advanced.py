@@ -8,7 +8,6 @@ from quillspark.operators import convert, edits as e, similarity as sim
 from quillspark.plans.registry import register
 from quillspark.sources import files
 from quillspark.sources.tables import table
-from quillspark.streaming import events as stream
 
 L = F.lit
 
@@ -157,8 +156,3 @@ def publish_only_changes(spark, sf_dir):
     return files.publish_changed(new, old, "p_partkey").select("p_partkey")
 
 
-@register("stream_windowed_counts", "L3 L5", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1,2")
-def stream_windowed_counts(spark, sf_dir):
-    return stream.run_once(stream.windowed(stream.source(spark, sf_dir)))
-
-

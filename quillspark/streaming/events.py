@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillspark.sources.folders import work_folder
+
 
 def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     """The table as a stream of its files (a file source watches a folder; a single file is picked by name)."""
@@ -25,9 +24,14 @@ def windowed(stream: DataFrame, size: str = "1 hour", late: str = "2 hours") ->
 
 
 def run_once(stream: DataFrame, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """What the stream gives over all that is there now: one availableNow run into a memory table."""
-    spark, name = stream.sparkSession, f"stream_{uuid.uuid4().hex}"
-    where = checkpoint or f"{spark.conf.get('spark.checkpoint.dir', '') or tempfile.mkdtemp()}/{name}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", where).start()
+    """What the stream gives over all that is there now: one availableNow run whose result is written as Parquet in the
+    shared folder, by the executors; a batch that is run again after a failure writes the same files anew."""
+    spark = stream.sparkSession
+    base = work_folder(spark, "stream")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/{'whole' if mode == 'complete' else f'batch={number}'}")
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", checkpoint or f"{base}/log").start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{base}/out/*")
