@@ -140,6 +140,8 @@ class Page:
             if n.tag == "a" and n.attrs.get("href", "").startswith("#") and self._in_contents(n):
                 self.entries[n.attrs["href"][1:]] = n.plain()
         self._harvest()
+        self.targets: dict[str, tuple[str, int, str]] = {}  # id of a track that the text points at -> group, number, glyph
+        self._point_at_tracks()
 
     @staticmethod
     def _in_contents(n: Node | None) -> bool:
@@ -184,6 +186,18 @@ class Page:
                     self.numbers[anchor] = star or (f"{group}.{number}" if group else str(number))
                 self.notes.append(Note(item, group, number, star, glyph if 0 < len(glyph) <= 2 and not star else None))
 
+    def _point_at_tracks(self) -> None:
+        """Tracks with an id that a link outside tracks leads to are targets of notes."""
+        tracks = {n.attrs["id"]: n for n in self.root.below() if n.attrs.get("id") and is_track(n)}
+        inside = {id(k) for n in tracks.values() for k in n.below()}
+        for a in self.root.below() if tracks else ():
+            at = a.attrs.get("href", "").removeprefix("#")
+            found = re.fullmatch(r"(.*?)-?(\d+)", at)
+            if a.tag == "a" and at in tracks and id(a) not in inside and found:
+                group = re.sub("[^A-Za-z0-9_-]", "", found[1]) or "trk"
+                self.numbers[at] = f"{group}.{int(found[2])}"
+                self.targets.setdefault(at, (group, int(found[2]), re.sub(r"[\d\s.):]+", "", a.raw())[:2]))
+
     def note_lines(self) -> list[str]:
         """The definitions, serialised now that all numbers are known; further lines are indented."""
         out = []
@@ -312,21 +326,24 @@ class Page:
             if n.names & MUSIC_LABEL:
                 label = self.one_line(n).rstrip(":")
             elif is_remark(n):
-                entries.append((None, self.one_line(n), ""))
+                entries.append((None, self.one_line(n), "", None))
             else:
-                entries.append(self.track(n))
-        titled = {video(u) for u, t, a in entries if u and (t or a)} - {None}
-        lines, seen = [], set()
-        for url, title, author in entries:
+                entries.append((*self.track(n), self.targets.get(n.attrs.get("id", ""))))
+        titled = {video(u) for u, t, a, _ in entries if u and (t or a)} - {None}
+        lines, seen, asked = [], set(), None
+        for url, title, author, target in entries:
             if url is None:
                 lines.append(f"> {title}")
-            elif (url or title) and (title or author or video(url) not in titled):
+            elif (url or title) and (title or author or target or video(url) not in titled):
                 key = (video(url) or url, title, author)
-                if key not in seen:
+                asked = target or asked
+                if key not in seen or target:
                     seen.add(key)
-                    lines.append(f"[{url}|{title}|{author}]")
+                    lines.append(f"[{url}|{title}|{author}" + (f"|{target[1]}]" if target else "]"))
         if not lines:
             return []
+        if asked:
+            return [f"[mus refs={asked[0]}" + (f" glyph={asked[2]}" if asked[2] else "") + "]\n" + "\n".join(lines) + "\n[/mus]"]
         head = "" if not label or "настроени" in label.lower() and "[^" not in label else f'="{label}"'
         return [f"[mus{head}]\n" + "\n".join(lines) + "\n[/mus]"]
 

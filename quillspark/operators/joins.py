@@ -73,3 +73,14 @@ def frozen_violations(old: DataFrame, new: DataFrame, key: str, column: str) ->
 
 def changed(a: Column, b: Column) -> Column:
     return ~a.eqNullSafe(b)
+
+
+def to_run(queue: DataFrame, done: DataFrame, key: str, order: list[str], only: list | None = None, section: tuple[str, str] | None = None, limit: int | None = None, force: bool = False) -> DataFrame:
+    """The rows of a queue that a run takes: given ids whatever their state, else what isn't done (all with ``force``), of one
+    section if named, at most ``limit`` in the queue's order."""
+    if only is not None:
+        return queue.filter(F.col(key).isin(only))
+    rows = queue if force else queue.join(done.select(key), key, "left_anti")
+    if section:
+        rows = rows.filter(F.col(section[0]) == section[1])
+    return rows.orderBy(*order).limit(limit) if limit is not None else rows

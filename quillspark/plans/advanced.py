@@ -12,22 +12,6 @@ from quillspark.sources.tables import table
 L = F.lit
 
 
-@register("fuzzy_best_match", "E8 J12 D14", None)
-def fuzzy_best_match(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return sim.best_match(asked, "item_id", "text", table(spark, sf_dir, "part").select("p_name"), "p_name")
-
-
-@register("slot_canonicalisation", "E9 F20 J14", """
-SELECT p_partkey, CASE p_partkey%5 WHEN 0 THEN 'KEEP' WHEN 1 THEN 'SWAP' WHEN 2 THEN 'FILL' WHEN 3 THEN 'FILLBOTH' ELSE 'NODB' END AS action, CASE WHEN p_partkey%2=0 THEN 'keep' ELSE 'swap' END AS split FROM part""")
-def slot_canonicalisation(spark, sf_dir):
-    k, author = F.col("p_partkey"), F.concat(L("qqq zzz "), F.col("p_brand"))
-    title, by = F.when(k % 5 == 1, author).when(k % 5 == 3, "").otherwise(F.col("p_name")), F.when(k % 5 == 1, F.col("p_name")).when((k % 5).isin(2, 3), "").otherwise(author)
-    action = sim.slot_action(title, by, F.when(k % 5 != 4, F.col("p_name")), author)
-    both = F.when(k % 2 == 0, F.concat("p_name", L(" — "), author)).otherwise(F.concat(author, L(" — "), "p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", action.alias("action"), sim.split_title(both, F.col("p_name"), author).alias("split"))
-
-
 @register("citation_compare", "E13 J19", """
 SELECT item_id, CASE WHEN item_id%4=0 THEN 'match' WHEN item_id%4=1 THEN 'NO_SOURCE' WHEN item_id%4=2 THEN 'short' ELSE 'diff' END AS state FROM benchmark""")
 def citation_compare(spark, sf_dir):

@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from quillspark.plans import advanced, filesets, imports, lines, markup, more, relational, scalar, web  # noqa: F401
+from quillspark.plans import advanced, audits, filesets, imports, lines, markup, more, relational, scalar, web  # noqa: F401

@@ -152,13 +152,6 @@ def link_outcomes(spark, sf_dir):
     return both.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@register("missing_with_users", "E7 B13 D2 A9", """
-SELECT l_partkey, list_sort(list_distinct(list(l_suppkey))) AS used_by FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size<40) GROUP BY 1""")
-def missing_with_users(spark, sf_dir):
-    known = table(spark, sf_dir, "part").filter("p_size < 40").select(F.col("p_partkey").alias("l_partkey"))
-    return table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_anti").groupBy("l_partkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("used_by"))
-
-
 @register("reverse_lookup", "E10 E26", """
 WITH f AS (SELECT p_name, p_brand, min(p_partkey) AS id FROM part GROUP BY 1,2), g AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), q AS (SELECT p_partkey, p_name, 'Brand#'||(p_partkey%30) AS brand FROM part)
 SELECT q.p_partkey, coalesce(f.id, g.id) AS found, f.id IS NULL AS by_title FROM q LEFT JOIN f ON f.p_name=q.p_name AND f.p_brand=q.brand LEFT JOIN g ON g.p_name=q.p_name""")
@@ -170,17 +163,6 @@ def reverse_lookup(spark, sf_dir):
     return asked.join(full, ["p_name", "brand"], "left").join(title, "p_name", "left").select("p_partkey", F.coalesce("full", "title").alias("found"), F.col("full").isNull().alias("by_title"))
 
 
-@register("soft_match", "E12", """
-WITH q AS (SELECT item_id, split_part(lower(text),' ',1) AS w FROM benchmark), p AS (SELECT DISTINCT p_name FROM part)
-SELECT item_id, min(p_name) AS name FROM q LEFT JOIN p ON contains(p_name, left(w,2)) GROUP BY 1""")
-def soft_match(spark, sf_dir):
-    # substring match as an equality join: names are indexed by all their two-letter parts
-    names = table(spark, sf_dir, "part").select("p_name").distinct()
-    index = names.select("p_name", F.explode(F.array_distinct(F.transform(F.sequence(L(1), F.length("p_name") - 1), lambda i: F.substring("p_name", i, L(2))))).alias("w"))
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.left(F.split_part(F.lower("text"), L(" "), L(1)), L(2)).alias("w"))
-    return asked.join(index, "w", "left").groupBy("item_id").agg(F.min("p_name").alias("name"))
-
-
 @register("value_precedence", "E14 E21 A21", """
 SELECT c_custkey, CASE WHEN c_custkey%10=0 THEN 'manual' WHEN s_suppkey IS NOT NULL THEN s_name ELSE c_name END AS title FROM customer LEFT JOIN supplier ON s_suppkey=c_custkey""")
 def value_precedence(spark, sf_dir):
@@ -266,11 +248,6 @@ def status_pivot(spark, sf_dir):
     return grouped.select(F.coalesce("o_orderpriority", L("total")).alias("priority"), "n", "f", "o", "p")
 
 
-@register("duplicate_keys", "F8", "SELECT l_orderkey, l_linenumber, count(*) AS n, list_sort(list_distinct(list(l_partkey))) AS parts FROM lineitem GROUP BY 1,2 HAVING count(*)>1")
-def duplicate_keys(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("l_partkey")).alias("parts")).filter("n > 1")
-
-
 @register("case_lexicon", "F10 C56", r"""
 WITH w AS (SELECT doc_id, unnest(string_split(text,' ')) AS w FROM documents), x AS (SELECT regexp_replace(w,'[^A-Za-z]','','g') AS w FROM w), c AS (SELECT lower(w) AS lemma, count(*) FILTER (w[1]=upper(w[1])) AS cap, count(*) AS n FROM x WHERE length(w)>=4 GROUP BY 1)
 SELECT lemma, cap, n FROM c WHERE n>=4 AND cap/n>0.5""")
