@@ -5,11 +5,11 @@ sentences cut after ``LEAF`` characters at most.  A paragraph's digest is the SH
 its text, a section's that of its paragraphs' digests, the root's that of its sections'
 digests.  The fingerprint is one string::
 
-    root ; section,section,... ; leaves|leaves/leaves|...
+    root ; section,section,... ; paragraphs/paragraphs/... ; leaves
 
-with 32 hex digits of the root, 8 of each section, and 8 (of XXH64) of each leaf; ``/``
-parts sections and ``|`` paragraphs.  Equal roots mean equal texts.  Where roots differ,
-sections and then paragraphs that differ locate the edit.
+with 32 hex digits of the root, 8 of each section, 8 of each paragraph (``/`` parts sections) and 8
+(of XXH64) of each leaf.  Equal roots mean equal texts.  Where roots differ, sections and then
+paragraphs that differ locate the edit.
 """
 
 from __future__ import annotations
@@ -18,28 +18,39 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SECTION = 8
 LEAF = 32
-_PIECES = rf"[^.!?]{{0,{LEAF - 1}}}[.!?]+|[^.!?]{{1,{LEAF}}}"
+_PIECES = rf"[^.!?\n]{{0,{LEAF - 1}}}[.!?]+|[^.!?\n]{{1,{LEAF}}}"
 
 
-def _leaf(piece: Column) -> Column:
-    high = F.shiftrightunsigned(F.xxhash64(piece), 32) + F.lit(1 << 32)
-    return F.substring(F.lower(F.hex(high)), 2, 8)
+def leaf_hashes(text: Column) -> Column:
+    """The leaves of a text, in order, as array<int>.  No leaf crosses a line feed, so the leaves of a
+    text are those of the lines before any line and of the lines from it on."""
+    return F.transform(F.regexp_extract_all(text, F.lit(_PIECES), F.lit(0)), lambda x: F.shiftright(F.xxhash64(x), 32).cast("int"))
 
 
-def _in_sections(items: Column, join: str) -> Column:
+def _in_sections(items: Column) -> Column:
     sections = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SECTION).cast("int"))
-    return F.transform(sections, lambda i: F.array_join(F.slice(items, i * SECTION + 1, F.lit(SECTION)), join))
+    return F.transform(sections, lambda i: F.array_join(F.slice(items, i * SECTION + 1, F.lit(SECTION)), ""))
+
+
+def branches(text: Column) -> Column:
+    """The fingerprint of a text down to its paragraphs: ``root;sections;paragraphs``."""
+    digests = F.transform(F.split(text, "\n", -1), lambda p: F.sha2(p, 256))
+    sections = F.transform(_in_sections(digests), lambda s: F.sha2(s, 256))
+    first = F.substring(F.sha2(F.array_join(sections, ""), 256), 1, 32)
+    short = F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 8)), ",")
+    return F.concat_ws(";", first, short, F.array_join(_in_sections(F.transform(digests, lambda d: F.substring(d, 1, 8))), "/"))
+
+
+def with_leaves(upper: Column, hashes: Column) -> Column:
+    """The whole fingerprint from its branches and leaves."""
+    digits = F.transform(hashes, lambda x: F.substring(F.hex(x.cast("long") + F.lit(1 << 33)), 2, 8))
+    return F.concat(upper, F.lit(";"), F.lower(F.array_join(digits, "")))
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; null counts as empty."""
-    paragraphs = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    leaves = F.transform(paragraphs, lambda p: F.array_join(F.transform(F.regexp_extract_all(p, F.lit(_PIECES), F.lit(0)), _leaf), ""))
-    digests = F.transform(paragraphs, lambda p: F.sha2(p, 256))
-    sections = F.transform(_in_sections(digests, ""), lambda s: F.sha2(s, 256))
-    root = F.substring(F.sha2(F.array_join(sections, ""), 256), 1, 32)
-    short = F.array_join(F.transform(sections, lambda s: F.substring(s, 1, 8)), ",")
-    return F.concat_ws(";", root, short, F.array_join(_in_sections(leaves, "|"), "/"))
+    known = F.coalesce(text, F.lit(""))
+    return with_leaves(branches(known), leaf_hashes(known))
 
 
 def root(fp: Column) -> Column:
@@ -47,7 +58,7 @@ def root(fp: Column) -> Column:
 
 
 def leaves(fp: Column) -> Column:
-    """The leaves of a fingerprint, in order."""
+    """The leaves of a fingerprint, in order, as hex digits."""
     return F.regexp_extract_all(F.substring_index(fp, ";", -1), F.lit("[0-9a-f]{8}"), F.lit(0))
 
 
@@ -73,7 +84,8 @@ def differing_paragraphs(a: Column, b: Column) -> Column:
     sections = F.arrays_zip(part(a, 2).alias("da"), part(b, 2).alias("db"), part(a, 3).alias("pa"), part(b, 3).alias("pb"))
 
     def inside(section: Column, i: Column) -> Column:
-        pairs = F.arrays_zip(F.split(section["pa"], r"\|", -1).alias("x"), F.split(section["pb"], r"\|", -1).alias("y"))
+        each = lambda c: F.regexp_extract_all(F.coalesce(section[c], F.lit("")), F.lit("[0-9a-f]{8}"), F.lit(0))
+        pairs = F.arrays_zip(each("pa").alias("x"), each("pb").alias("y"))
         places = F.transform(pairs, lambda p, j: F.when(~p["x"].eqNullSafe(p["y"]), i * SECTION + j))
         return F.when(section["da"].eqNullSafe(section["db"]), F.array().cast("array<int>")).otherwise(F.array_compact(places))
 
@@ -106,29 +118,29 @@ def _range_of(value: Column, starts: list) -> Column:
     return F.when(value.isNull(), 0).otherwise(search(0, len(starts)))
 
 
-def with_next(ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of distinct ids with ``next_id``, the following id in ascending order (null
-    first); after the last comes the first.
+def with_next(rows: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``next``, the struct of the columns ``order`` of the row that follows in their ascending
+    order (nulls first); after the last comes the first.  No two rows agree in all of ``order``.
 
-    Rows are dealt by ranges, whose bounds come from at most DRAWN ids for each shuffle partition
-    (those of least hash).  Neighbours inside a range come from a window over that range,
-    neighbours across ranges from a table with one row for each range.
+    Rows are dealt by ranges of the first of these columns, whose bounds come from at most DRAWN values for each
+    shuffle partition (those of least hash).  Neighbours inside a range come from a window over that
+    range, neighbours across ranges from a table with one row for each range.
     """
-    width = min(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES)
-    known = ids.select(id_col).filter(F.col(id_col).isNotNull())
-    drawn = sorted(r[0] for r in known.orderBy(F.xxhash64(id_col), id_col).limit(DRAWN * width).collect())
+    width = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), RANGES)
+    first = order[0]
+    known = rows.select(first).filter(F.col(first).isNotNull())
+    drawn = sorted(r[0] for r in known.orderBy(F.xxhash64(first), first).limit(DRAWN * width).collect())
     starts = sorted(set(drawn[DRAWN::DRAWN]))
-    dealt = ids.withColumn("__range", _range_of(F.col(id_col), starts))
-    here = Window.partitionBy("__range").orderBy(F.col(id_col).asc_nulls_first())
-    ranked = dealt.withColumn("__at", F.row_number().over(here)).withColumn("next_id", F.lead(id_col).over(here))
-    ranked = ranked.withColumn("__more", F.lead(F.lit(True)).over(here))
-    firsts = ranked.filter("__at = 1").select(F.col("__range"), F.col(id_col).alias("__first"))  # a row for each range
-    order = Window.orderBy("__range")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    follows = firsts.withColumn("__follows", F.lead(F.lit(True)).over(order)).withColumn("__next", F.lead("__first").over(order))
-    follows = follows.withColumn("__next", F.when(F.col("__follows"), F.col("__next")).otherwise(F.first("__first").over(whole))).select("__range", "__next")
-    inner = ranked.filter("__more").drop("__at", "__more", "__range")
-    last = ranked.filter("__more is null").join(follows, "__range").withColumn("next_id", F.col("__next"))
+    me = F.struct(*order)
+    dealt = rows.withColumn("__range", _range_of(F.col(first), starts))
+    here = Window.partitionBy("__range").orderBy(*(F.col(c).asc_nulls_first() for c in order))
+    ranked = dealt.withColumn("__at", F.row_number().over(here)).withColumn("next", F.lead(me).over(here))
+    firsts = ranked.filter("__at = 1").select("__range", me.alias("__first"))  # a row for each range
+    by_range = Window.orderBy("__range")
+    whole = by_range.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    follows = firsts.select("__range", F.coalesce(F.lead("__first").over(by_range), F.first("__first").over(whole)).alias("__next"))
+    inner = ranked.filter("next is not null").drop("__at", "__range")
+    last = ranked.filter("next is null").join(follows, "__range").withColumn("next", F.col("__next"))
     return inner.unionByName(last.select(inner.columns))
 
 
@@ -137,36 +149,65 @@ def against_edits(docs: DataFrame) -> DataFrame:
     document's: (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
 
     The edited text has its last floor(n_chars / 4) code points replaced by the first as
-    many of the next document.  Rows of one id count as one document, with the shortest
-    of their texts (of equally long ones that of least hash; null texts are empty); a null id is an id before all others; a single
-    document is its own next; no rows give no rows; other columns are ignored.
-
-    Texts are shuffled once, by id; a document sends its predecessor only the characters
-    that the edit needs and its fingerprint.
+    many of the next document, in ascending order of doc_id, then of length, then of the text's hash.  Every
+    row gives a row; rows equal in id and text are one place in that order.  Null texts are empty; a null id comes before
+    all others; a single document is its own next; no rows give no rows; other columns are ignored.
+
+    A text's tree is made once, where it is read: the branches, the leaves before the line that the
+    edit begins in, and those from there on.  Texts are shuffled once, with their trees; a document
+    sends its predecessor only the characters that the edit needs, its root and its leaves.  The
+    edited tree takes over the leaves before the edit.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    place = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("h"))
-    key = lambda c: F.when(c.isNull(), "").otherwise(F.concat(F.lit("="), c.cast("string")))  # noqa: E731  a null id is a key too
-    # one struct, so both joins ask for the same columns and share one exchange of the texts
-    texts = rows.groupBy(key(F.col("doc_id")).alias("key")).agg(F.min_by(F.struct("doc_id", "text"), place).alias("row")).select("key", "row.doc_id", "row.text")
-    # lengths come from a narrow scan of their own, so texts are shuffled once
-    needs = with_next(rows.groupBy("doc_id").agg(F.min(place).alias("place")).select("doc_id", F.floor(F.col("place.n") / 4).cast("int").alias("need")))
-    needs = needs.select(key(F.col("doc_id")).alias("to"), key(F.col("next_id")).alias("next_key"), "need")
-    sent = needs.join(texts, F.col("next_key") == F.col("key"))
-    sent = sent.select("to", "need", F.left("text", F.col("need")).alias("taken"), fingerprint(F.col("text")).alias("next_fingerprint"))
-    both = texts.join(sent, F.col("key") == F.col("to"))
-    edited = F.concat(F.left("text", F.length("text") - F.col("need")), "taken")
-    made = both.select("doc_id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_fingerprint")
-    made = made.select(
+    placed = rows.select("doc_id", F.length("text").alias("n"), F.xxhash64("text").alias("h"), "text")
+    key = lambda row: F.concat_ws("|", F.concat(F.lit("="), row["doc_id"].cast("string")), row["n"].cast("string"), row["h"].cast("string"))
+    own = {c: F.col(c) for c in ("doc_id", "n", "h")}
+    need = F.floor(F.col("n") / 4).cast("int")
+    kept = F.left("text", F.col("n") - need)
+    line = F.length(kept) - F.length(F.substring_index(kept, "\n", -1))  # where the line begins that the edit is in
+    cut = placed.select(key(own).alias("key"), "doc_id", "n", need.alias("need"), line.alias("line"), "text")
+    made = cut.select(
+        "key",
+        F.struct(
+            "doc_id",
+            "n",
+            "need",
+            "line",
+            "text",
+            branches(F.col("text")).alias("branches"),
+            leaf_hashes(F.left("text", F.col("line"))).alias("before"),
+            leaf_hashes(F.substring("text", F.col("line") + 1, F.col("n"))).alias("after"),
+        ).alias("row"),
+    )
+    # one struct, and a count that both joins ask for, so they share one exchange of the texts
+    texts = made.groupBy("key").agg(F.first("row").alias("row"), F.count("*").alias("times")).filter("times > 0")
+    # places come from a narrow scan of their own, so texts are shuffled once
+    order = with_next(placed.select("doc_id", "n", "h").distinct(), ["doc_id", "n", "h"])
+    needs = order.select(key(own).alias("to"), key(F.col("next")).alias("next_key"), need.alias("wanted"))
+    sent = needs.join(texts, F.col("next_key") == F.col("key")).select(
+        "to", F.left("row.text", F.col("wanted")).alias("taken"), root(F.col("row.branches")).alias("next_root"), F.concat("row.before", "row.after").alias("next_leaves")
+    )
+    both = texts.join(sent, F.col("key") == F.col("to")).select("row.*", "times", "taken", "next_root", "next_leaves")
+    edited = F.concat(F.left("text", F.col("n") - F.col("need")), "taken")
+    both = both.withColumn("edited", edited)
+    both = both.select(
         "doc_id",
-        "n_chars",
+        F.col("n").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
-        "next_fingerprint",
+        "branches",
+        branches(F.col("edited")).alias("edited_branches"),
+        "next_root",
+        F.concat("before", "after").alias("own"),
+        F.concat("before", leaf_hashes(F.substring("edited", F.col("line") + 1, F.length("edited")))).alias("changed"),
+        "next_leaves",
+        F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("again"),
+    )
+    return both.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        with_leaves(F.col("branches"), F.col("own")).alias("fingerprint"),
+        with_leaves(F.col("edited_branches"), F.col("changed")).alias("edited_fingerprint"),
+        likeness_of(root(F.col("branches")) == root(F.col("edited_branches")), F.col("own"), F.col("changed")).alias("near_edited"),
+        likeness_of(root(F.col("branches")) == F.col("next_root"), F.col("own"), F.col("next_leaves")).alias("near_next"),
     )
-    named = {"own": "fingerprint", "changed": "edited_fingerprint", "following": "next_fingerprint"}
-    made = made.withColumns({k: leaves(F.col(v)) for k, v in named.items()})
-    near = lambda v, k: likeness_of(root(F.col("fingerprint")) == root(F.col(v)), F.col("own"), F.col(k))
-    made = made.withColumn("near_edited", near("edited_fingerprint", "changed")).withColumn("near_next", near("next_fingerprint", "following"))
-    return made.drop("next_fingerprint", *named)
