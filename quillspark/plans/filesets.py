@@ -274,3 +274,32 @@ def ordered_moves(spark, sf_dir):
     place = F.row_number().over(Window.partitionBy("o_custkey", "gone").orderBy("tail", "o_orderdate", "o_orderkey")) - 1
     left = F.sum(1 - F.col("gone")).over(w)
     return rows.select("o_orderkey", F.when(F.col("gone") == 0, place).cast("long").alias("place"), F.when(F.col("gone") == 1, left).alias("restored"))
+
+
+@register("file_commits", "B6 B8 L7", """
+SELECT 'a/'||n_nationkey||'.txt' AS name, CASE WHEN n_nationkey%3=0 THEN 'changed' ELSE n_name END AS text FROM nation WHERE n_nationkey%5<>4""")
+def file_commits(spark, sf_dir):
+    """Many files in one commit, then another that changes and deletes some; a commit on an old parent changes nothing."""
+    where = folder(spark, "commits")
+    rows = nations(spark, sf_dir)
+    first = where.commit({f"a/{k}.txt": n for k, n, _ in rows}, None)
+    second = where.commit({f"a/{k}.txt": None if k % 5 == 4 else "changed" for k, _, _ in rows if k % 5 == 4 or k % 3 == 0}, first)
+    assert where.commit({"late.txt": "lost"}, first) is None and where.head() == second
+    return spark.createDataFrame(sorted(where.committed(second).items()), "name string, text string")
+
+
+@register("run_locks", "L4", """
+SELECT r_regionkey, r_regionkey%4=0 AS taken, 'new' AS later FROM region""")
+def run_locks(spark, sf_dir):
+    """A lock whose owner lives is refused; one whose owner is gone, or that is too old, or its own, is taken; later all are."""
+    where = folder(spark, "locks")
+    rows = [r[0] for r in table(spark, sf_dir, "region").select("r_regionkey").limit(10).collect()]
+    out = []
+    for k in rows:
+        name = f"lock-{k}"
+        assert where.lock(name, "old", 1000.0, lambda o: True)
+        lives = k % 4 != 0
+        taken = where.lock(name, "new", 1500.0, lambda o: lives)
+        where.lock(name, "new", 9000.0, lambda o: True)
+        out.append((k, taken, json.loads(where.read(name))["owner"]))
+    return spark.createDataFrame(out, "r_regionkey long, taken boolean, later string")

@@ -134,9 +134,9 @@ def star_marks(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", t.star(cat(F.col("s_name"), pick(F.col("s_suppkey"), "★", "✱＊", "x"))).alias("mark"))
 
 
-@register("fnv_known_values", "J21", """
+@register("fnv_hashes", "J21", """
 SELECT p_partkey, printf('%08x', list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(p_name,''), lambda c: ascii(c)::UBIGINT)), lambda h, c: (xor(h, c) * 16777619::UBIGINT) & 4294967295::UBIGINT)) AS hash FROM part""")
-def fnv_known_values(spark, sf_dir):
+def fnv_hashes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", t.fnv1a(F.col("p_name")).alias("hash"))
 
 

@@ -66,11 +66,6 @@ def round_half_even(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.bround(F.sum("l_discount") / F.count("*"), 3).alias("mean"))
 
 
-@register("fnv_hashes", "J21", None)
-def fnv_hashes(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", t.fnv1a(F.col("p_name")).alias("hash"))
-
-
 @register("caps_ratios", "D6 D5 J25", r"""
 WITH s AS (SELECT doc_id, text, length(regexp_replace(text,'\PL','','g')) AS l, length(regexp_replace(text,'\P{Lu}','','g')) AS u FROM documents)
 SELECT doc_id, CASE WHEN l=0 THEN 0.0 ELSE round(u/l,2) END AS ratio FROM s""")

@@ -84,6 +84,55 @@ class Folder:
         self.rename(name, f"{name}.{stamp}")
         self.write(name, text)
 
+    # -- commits and locks ------------------------------------------------------------------
+
+    def commit(self, changes: dict[str, str | None], parent: str | None) -> str | None:
+        """Many files at once or none: a version folder holds them all, and one small file, replaced at the end, names the
+        version that readers see.  Without success (another version than ``parent`` is the last) nothing changes.  None deletes a file."""
+        if self.head() != parent:
+            return None
+        tree = json.loads(self.read(f"{parent}/.tree") or "{}") if parent else {}
+        version = f"v-{uuid.uuid4().hex}"
+        for name, text in changes.items():
+            if text is None:
+                tree.pop(name, None)
+            else:
+                self.write(f"{version}/{name}", text)
+                tree[name] = f"{version}/{name}"
+        self.write(f"{version}/.tree", json.dumps(tree, sort_keys=True))
+        if self.head() != parent:
+            return None
+        self.write("HEAD", version)
+        return version
+
+    def head(self) -> str | None:
+        return self.read("HEAD")
+
+    def committed(self, version: str) -> dict[str, str | None]:
+        return {name: self.read(at) for name, at in json.loads(self.read(f"{version}/.tree") or "{}").items()}
+
+    def lock(self, name: str, owner: str, now: float, alive: Callable[[str], bool], stale: float = 3600.0) -> bool:
+        """Take a lock that one owner at a time holds; one whose owner is gone, or that is too old, is taken over."""
+        held = self.load_state(name, dict)
+        if held and held["owner"] != owner and alive(held["owner"]) and now - held["since"] < stale:
+            return False
+        if held:
+            self.write(name, json.dumps({"owner": owner, "since": now}))
+            return True
+        return self._create(name, json.dumps({"owner": owner, "since": now}))
+
+    def _create(self, name: str, text: str) -> bool:
+        """Write a file that isn't there yet; False if another was first."""
+        try:
+            out = self._fs.create(self._at(name), False)
+        except Exception as e:  # the file system's own "it exists already"
+            if "exist" in str(e).lower():
+                return False
+            raise
+        out.write(bytearray(text.encode()))
+        out.close()
+        return True
+
     def renamed(self, moves: dict[str, str]) -> dict[str, str]:
         """Rename many files at once, swaps too: first all to names of their own, then to their targets.  The outcome of each."""
         here = set(self.names())

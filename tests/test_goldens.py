@@ -80,7 +80,7 @@ def test_convert_covers_and_isolates():
     assert out["title"] == "T" and "## Two" in out["markup"] and "a _b_\nc" in out["markup"] and out["coverage"] == 1.0
     assert importer.imported(None)["error"] is None
     html = convert.render(out["markup"])["html"]
-    assert "<h2>Two</h2>" in html and "<em>b</em>" in html
+    assert '<h2 id="two">Two ' in html and "<em>b</em>" in html
 
 
 def test_retry_machine():
@@ -147,3 +147,55 @@ def test_state_stream_equals_replay(spark, tmp_path):
     batch = {r.id: (r.phase, r.tries) for r in machine.replay_all(spark.createDataFrame(rows + later, schema), "id", "at_s", "kind").collect()}
     seen = [(r.id, (r.phase, r.tries)) for r in spark.table("states").collect()]
     assert all((k, v) in seen for k, v in batch.items())
+
+
+def test_folders_keep_old_or_new(spark, tmp_path):
+    from quillspark.sources.folders import Folder
+
+    where = Folder(spark, str(tmp_path / "f"))
+    assert where.read("x") is None and where.load_state("s", lambda: {"n": 0}) == {"n": 0}
+    where.write("s", "[1]")
+    assert where.load_state("s", lambda: {"n": 1}) == {"n": 1} and "s.bad" in where.names()
+    where.save_state("s", {"n": 2})
+    assert where.load_state("s", dict) == {"n": 2}
+    for n in "abc":
+        where.write(n, n)
+    assert where.renamed({"a": "b", "b": "c", "c": "a", "none": "z"}) == {"a": "moved", "b": "moved", "c": "moved", "none": "missing"}
+    assert [where.read(n) for n in "abc"] == ["c", "a", "b"]
+    one = where.commit({"p": "1", "q": "2"}, None)
+    two = where.commit({"p": None, "r": "3"}, one)
+    assert where.committed(one) == {"p": "1", "q": "2"} and where.committed(two) == {"q": "2", "r": "3"} and where.commit({}, one) is None
+    assert where.lock("l", "x", 0.0, lambda o: True) and not where.lock("l", "y", 10.0, lambda o: True)
+    assert where.lock("l", "y", 10.0, lambda o: False) and where.lock("l", "z", 4000.0, lambda o: True)
+
+
+def test_verse_overrides_and_dictionary():
+    assert verse.dictionary(["# c", "", "a b 2", "x -1"]) == {"a b": 2, "x": -1}
+    for bad in ("word", "word x"):
+        try:
+            verse.dictionary([bad])
+            raise AssertionError(bad)
+        except ValueError:
+            pass
+    assert verse.override_blocks("# c\na b\n\n \nc\r\nd\n") == [["a b"], ["c", "d"]]
+    text = "да ну же ты был тут да ну"
+    cut = verse.segmented(text, 5, overrides="же ты\nбыл тут")
+    assert [x["text"] for x in cut["lines"]][1:3] == ["же ты", "был тут"] or "был тут" in [x["text"] for x in cut["lines"]]
+    assert verse.segmented(text, 5, overrides="да ну")["error"] and verse.segmented(text, 5, overrides="нет такого")["error"] is None
+    labels = [x["label"] for x in verse.segmented("=== One ===\nда ну да ну да\n\nну да ну да ну", 5)["lines"]]
+    assert labels == ["One", verse.PARAGRAPH]
+
+
+def test_first_date_beside_letters(spark):
+    from quillspark.functions import dates
+
+    rows = spark.createDataFrame([("ж1.2.2003",), ("(1.2.2003)",), ("1.2.2003г",), ("",), (None,)], "x string")
+    assert [str(r[0]) for r in rows.select(dates.first_date(F.col("x"))).collect()] == ["None", "2003-02-01", "None", "None", "None"]
+
+
+def test_importer_isolates_and_covers():
+    page = "<body>" + "".join(f'<div class="w{i}"><p>para {i} with <a href="#n{i}">words</a></p></div>' for i in range(50)) + "<table><tr><td>x</td></tr></table></body>"
+    out = importer.imported(page)
+    assert out["coverage"] == 1.0 and out["markup"].count("para ") == 50 and out["kind"] == "prose"
+    deep = importer.imported("<div>" * 3000 + "x")  # deeper than the walk goes
+    assert deep["markup"] is None and deep["error"]
