@@ -237,15 +237,15 @@ def remove_repeats(docs: DataFrame, window: int = 35, joined: bool = False, text
     keys = [key, key2]
     others = [c for c in carried if c != text_col]
     names = [F.col(f"`{c}`") for c in others]
-    table = docs.select(*names, F.col(text_col).cast("binary").alias(held), _row_hash(docs, 1).alias(key), _row_hash(docs, 2).alias(key2))
-    table = table.repartition(width, *keys)  # one exchange of the texts; all passes reuse it
+    source = docs.select(*names, F.col(text_col).cast("binary").alias(held), _row_hash(docs, 1).alias(key), _row_hash(docs, 2).alias(key2))
+    table = source.repartition(width, *keys)  # only what meets texts again shuffles them
     by_row = lambda rows: rows.groupBy(F.col("k").alias(key), F.col("k2").alias(key2))
 
-    paths = _paths(table, window, keys, held, bits)
+    paths = _paths(source, window, keys, held, bits)
     one = lambda c: F.min(c) == F.max(c)
     known = paths.groupBy("least").agg(F.count("*").alias("c"), one("whole").alias("same"), one("prev").alias("left"), one("next").alias("right")).filter("c > 1")
     known = checkpointed(known)  # a row for each repeated hash; a common one's paths may be split in the join
-    found = paths.select("least", "k", "k2", "first", "n").join(known, "least")
+    found = checkpointed(paths.select("least", "k", "k2", "first", "n").join(known, "least"))
 
     parts = F.ceil(F.col("c") / PATHS_A_TASK).cast("int").alias("parts")
     branching = by_row(found.filter("not same")).agg(F.collect_set(F.struct("least", "first", "n", parts)).alias(opened))
