@@ -54,17 +54,26 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").coalesce(max(1, -(-edges.count() // CHUNK))).mapInArrow(run, "u long, v long")
 
 
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows (u, v) with the least node ``m`` of u's neighbourhood.
+
+    ``least`` holds one row for each u, from map-side minima.  Its u is written as the greater of u and m (m is never
+    greater), so Spark deals it anew and may split the rows of a hub over tasks in the join.
+    """
+    return rows.join(least.select(F.greatest("u", "m").alias("u"), "m"), "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least node of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return _with_least(both.filter("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the least of them (edges have u > v)."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    joined = _with_least(edges, least).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return joined.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")
 
 

@@ -219,8 +219,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, threshold: int = 4, id_col:
     fps = checkpointed(fingerprints(docs, words, id_col, text_col))
     distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(distinct.select("fp"), threshold))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = checkpointed(named)
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.join(least, "root").select("fp", "component_id")
+    grouped = distinct.join(roots, distinct.fp == roots.node).select("fp", "least", "root")
+    least = checkpointed(grouped.groupBy("root").agg(F.min("least").alias("component_id")))  # stored, so a large group may be split in the join
+    named = grouped.join(least, "root").select("fp", "component_id")
+    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
