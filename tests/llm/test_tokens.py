@@ -137,6 +137,50 @@ def test_pack_is_whole_and_near_the_bound(sizes):
     assert len(bins) <= 1.25 * -(-sum(sizes) // 100) + 1 or min(sizes) > 33
 
 
+BYTES = Tokenizer.from_file(public_tokenizers.path(BYTE))
+with open(public_tokenizers.path(BYTE), encoding="utf-8") as f:
+    PACKED = packing.Tokenizer(f.read())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("aeinr thst\n\t .!12½<|>漢🙂é'"), st.characters(codec="utf-8")), max_size=80))
+def test_packed_ids_equal_the_library(text):
+    assert PACKED.ids(text).tolist() == BYTES.encode(text, add_special_tokens=False).ids
+
+
+def fewest(sizes, most):
+    """The fewest bins, by trying all ways."""
+    best = len(sizes)
+
+    def go(k, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if k == len(sizes):
+            best = len(free)
+            return
+        for room in {f for f in free if f >= sizes[k]}:
+            i = free.index(room)
+            go(k + 1, [*free[:i], room - sizes[k], *free[i + 1 :]])
+        go(k + 1, [*free, most - sizes[k]])
+
+    go(0, [])
+    return best
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=8))
+def test_pack_against_all_ways(sizes):
+    assert fewest(sizes, 60) <= len(packing.pack(sizes, 60)) <= fewest(sizes, 60) + 1
+
+
+def test_pack_is_within_a_sequence_of_the_bound_where_small_documents_are_many():
+    rng = random.Random(4)
+    for _ in range(3):
+        sizes = [min(2047, int(rng.lognormvariate(5.8, 1.1)) + 1) for _ in range(4000)]
+        assert len(packing.pack(sizes, 2048)) <= -(-sum(sizes) // 2048) + 1
+
+
 def test_local_search_empties_a_bin():
     # best fit decreasing leaves 4+4, 3+3+3 and 3; a one-for-one exchange, then a move, empty the last
     assert len(packing.pack([4, 4, 3, 3, 3, 3], 10)) == 2
