@@ -78,11 +78,16 @@ def url_https(url: Column) -> Column:
 _MARKS = r"\[\^[^\]]+\]"
 
 
+#: What doesn't count in a title, in the order in which it goes: note marks, brackets, punctuation (fixed patterns).
+TITLE_NOISE = (_MARKS, r"\([^)]*\)", "[«»\"'`.,!?:·…—–-]+")
+
+
 def title_words(s: Column) -> Column:
     """Lower case, no note marks, brackets or punctuation, single spaces."""
     s = F.replace(F.lower(F.coalesce(s, F.lit(""))), F.lit("ё"), F.lit("е"))
-    s = F.regexp_replace(F.regexp_replace(s, _MARKS, " "), r"\([^)]*\)", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(s, "[«»\"'`.,!?:·…—–-]+", " "), r"\s+", " "))
+    for noise in TITLE_NOISE:
+        s = F.regexp_replace(s, noise, " ")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
 def title_key(s: Column) -> Column:
