@@ -6,7 +6,7 @@ import difflib
 
 from pyspark.sql import Window, functions as F, types as T
 
-from quillspark.functions import dates as d, text as t
+from quillspark.functions import dates as d
 from quillspark.operators import convert, importer, joins, similarity as sim
 from quillspark.plans.registry import register
 from quillspark.sources.tables import literal, table
