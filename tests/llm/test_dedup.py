@@ -117,6 +117,49 @@ def test_keep_one_of_each_group(spark, monkeypatch, tmp_path, tile):
     assert {r.doc_id for r in kept.collect()} == set(roots)
 
 
+def brute_roots(texts, least=0.8, k=5):
+    """The root of each text by comparing all texts that share a shingle."""
+    sets = []
+    for t in texts:
+        w = SPLIT.findall((t or "").lower())
+        sets.append(frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset())
+    first, where = {}, collections.defaultdict(list)
+    pairs = []
+    for i, x in enumerate(sets):
+        if x in first:
+            pairs.append((first[x], i))
+            continue
+        first[x] = i
+        both = collections.Counter(j for g in x for j in where[g])
+        pairs += [(j, i) for j, n in both.items() if n >= least * (len(x) + len(sets[j]) - n) - 1e-9]
+        for g in x:
+            where[g].append(i)
+    return find_roots(len(texts), pairs)
+
+
+def test_families_where_the_least_member_is_unlike_others(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(neardup, "CHECK_TILE", 7)
+    rng = random.Random(12)
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{rng.randrange(10**6)}" for _ in range(rng.randint(30, 300))]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 60))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    roots = brute_roots(texts)
+    assert len({r for r in roots}) > 15  # families fall apart, so links with one member don't decide
+    assert kept_ids(spark, tmp_path / "d", texts) == set(roots)
+
+
+def test_kept_documents_equal_brute_force_on_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect())
+    roots = brute_roots([t for _, t in rows])
+    assert {r.doc_id for r in neardup.keep_one(docs).select("doc_id").collect()} == {rows[k][0] for k in set(roots)}
+
+
 def kept_ids(spark, path, texts):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(path))
     return {r.doc_id for r in neardup.keep_one(spark.read.parquet(str(path))).collect()}
@@ -167,6 +210,14 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_rounds_over_a_long_path_stay_alike(spark):
+    n = 700  # some ten rounds; what plans infer from one round must not grow in the next
+    edges = [(i, i + 1) for i in range(n)]
+    random.Random(2).shuffle(edges)
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    assert got == {i: 0 for i in range(n + 1)}
+
+
 def brute_cut(texts, window):
     words = [SPLIT.findall(t or "") for t in texts]
     seen = collections.Counter(tuple(w[i : i + window]) for w in words for i in range(len(w) - window + 1))

@@ -351,6 +351,36 @@ def test_pipeline_is_its_stages(spark):
     assert not [i for i in labels if labels[i] == 0 and i in kept][2:]
 
 
+def test_the_query_meets_several_layouts(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    records = q._in_layouts(chat.conversations_as_records(rows))
+    found = {r.layout for r in chat.canonical(records, records.columns[1:]).select("layout").distinct().collect()}
+    assert None not in found and len(found) >= 4
+
+
+def test_only_the_last_stage_files_stay(spark):
+    import os
+
+    import corpus_pipeline as cp
+    from quillspark.llm.common import shared_folder
+
+    base = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(base))
+    cp.run(spark, SF)
+    (new,) = [x for x in set(os.listdir(base)) - before if x.startswith("pipeline-")]
+    assert [x for x in os.listdir(f"{base}/{new}") if not x.startswith(".")] == ["3-substring_dedup"]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace as Fake
+
+    from quillspark.llm.common import shared_folder
+
+    unset = Fake(sc=lambda: Fake(getCheckpointDir=lambda: Fake(isEmpty=lambda: True)))
+    with pytest.raises(ValueError):
+        shared_folder(Fake(sparkContext=Fake(_jsc=unset, master="spark://host:7077"), conf=Fake(get=lambda name, default: default)))
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
