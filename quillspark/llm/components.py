@@ -54,6 +54,23 @@ def contract(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").coalesce(max(1, -(-edges.count() // CHUNK))).mapInArrow(run, "u long, v long")
 
 
+def _closed(edges: DataFrame) -> DataFrame:
+    """(node, root) of at most CHUNK links, by one union-find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, nodes = Forest(), set()
+        for batch in batches:
+            for p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                nodes.update(p)
+                forest.join(*p)
+        found = list(nodes)
+        for a in range(0, len(found), 10_000):
+            part = found[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([forest.find(x) for x in part], pa.int64())], names=["node", "root"])
+
+    return edges.select("u", "v").coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the least node of its neighbourhood."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -74,6 +91,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each groups by node with map-side
     minima, so a hub costs its neighbours' rows once and no task gathers a component.
     Rounds are logarithmic in the longest path.  Every round ends in a checkpoint.
+    As soon as CHUNK links or fewer are left, one union-find ends it without further rounds.
     Self-links and repeated links are harmless; no edges give no rows.
     """
     links = contract(checkpointed(edges.select(F.col("u").cast("long"), F.col("v").cast("long"))))
@@ -83,6 +101,8 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == seen or not mark[0]:
             break
+        if mark[0] <= CHUNK:
+            return checkpointed(_closed(state))
         seen = mark
         state = checkpointed(_small_star(_large_star(state).distinct()).distinct())
     roots = state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

@@ -10,7 +10,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quillspark.llm import neardup, simhash, substring
+from quillspark.llm import components as component_search, neardup, simhash, substring
 from quillspark.llm.bytespans import Rolling, Words, xxh64_spans
 from quillspark.llm.components import components
 
@@ -296,3 +296,21 @@ def test_rolling_hashes_follow_content():
     r = Rolling(w)
     a = r.windows(np.array([0, 3, 1]), np.array([3, 3, 3]))
     assert a[0] == a[1] != a[2]
+
+
+@pytest.mark.parametrize("chunk", [1, 250_000])
+def test_components_by_rounds_and_at_once(spark, monkeypatch, chunk):
+    monkeypatch.setattr(component_search, "CHUNK", chunk)
+    rng = random.Random(3)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    roots = find_roots(60, pairs)
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: roots[x] for p in pairs if p[0] != p[1] for x in p}
+
+
+def test_few_links_need_no_rounds(spark, monkeypatch):
+    def no_round(edges):
+        raise AssertionError("a round")
+
+    monkeypatch.setattr(component_search, "_large_star", no_round)
+    assert components(spark.createDataFrame([(k, k + 1) for k in range(50)], "u long, v long")).filter("root = 0").count() == 51
