@@ -41,10 +41,14 @@ WIDE_FROM = 1 << 27
 
 def fingerprints_of(texts: list[bytes | None], words: int) -> np.ndarray:
     """The unsigned 64-bit SimHash of each text; 0 where it has no word."""
-    shingles, first = Words(texts, lower=True).shingles(words)
-    out = np.zeros(len(texts), np.uint64)
+    return majority_bits(*Words(texts, lower=True).shingles(words))
+
+
+def majority_bits(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The bits set in more than half of the hashes of each text, which begin at ``first``; 0 where there are none."""
+    out = np.zeros(len(first) - 1, np.uint64)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    for d in range(len(texts)):
+    for d in range(out.size):
         a, b = first[d], first[d + 1]
         if a < b:
             ones = np.zeros(64, np.int64)

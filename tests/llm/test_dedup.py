@@ -314,3 +314,29 @@ def test_few_links_need_no_rounds(spark, monkeypatch):
 
     monkeypatch.setattr(component_search, "_large_star", no_round)
     assert components(spark.createDataFrame([(k, k + 1) for k in range(50)], "u long, v long")).filter("root = 0").count() == 51
+
+
+def test_large_components_read_rows_a_few_times(spark, monkeypatch, tmp_path):
+    """A group of near copies over many tiles: rows that are compared grow with its size, not with its square."""
+    monkeypatch.setattr(neardup, "CHECK_TILE", 10)
+    rng = random.Random(9)
+    base = [f"g{rng.randrange(10**6)}" for _ in range(200)]
+    texts = []
+    for k in range(200):
+        w = list(base)
+        w[rng.randrange(200)] = f"x{k}"
+        texts.append(" ".join(w))
+    met = []
+    linked = neardup._linked
+    monkeypatch.setattr(neardup, "_linked", lambda rows, *rest: (met.append(rows.count()), linked(rows, *rest))[1])
+    assert kept_ids(spark, tmp_path / "d", texts) == set(brute_roots(texts))
+    assert sum(met) <= 3 * len(texts)
+
+
+def test_near_duplicates_come_through_operator_5(spark, monkeypatch, tmp_path):
+    """Without MinHash keys, what SimHash links is still found and checked."""
+    monkeypatch.setattr(neardup, "band_keys", lambda sets: np.arange(len(sets) * neardup.BANDS, dtype=np.uint64).reshape(-1, neardup.BANDS) + np.uint64(hash(b"".join(sets)) % 2**60))
+    rng = random.Random(10)
+    base = [f"o{rng.randrange(10**6)}" for _ in range(900)]
+    texts = [" ".join(base), " ".join([*base, "last"]), " ".join(f"p{rng.randrange(10**6)}" for _ in range(900))]
+    assert kept_ids(spark, tmp_path / "d", texts) == {0, 2}
