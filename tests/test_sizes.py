@@ -1,5 +1,6 @@
 """Queries on tables that the small ones don't stand for: many rows, odd values."""
 
+from quillspark.operators import importer
 from quillspark.plans import imports
 
 
@@ -7,3 +8,11 @@ def test_conversions_of_a_small_file_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(imports, "PAGES_A_TASK", 20)
     done = imports.convert_lists(spark, "/root/testdata/sf0.001")
     assert done.rdd.getNumPartitions() >= done.count() // 20 > 1
+
+
+def test_pages_whose_tags_never_close_are_converted_at_any_depth():
+    for tag in ("p", "div", "b", "ul><li", "blockquote"):
+        done = importer.imported("<h1>T</h1>" + f"<{tag}>x " * 1500)
+        assert (done["title"], done["error"]) == ("T", None), tag
+        assert done["markup"].count("x") == 1500, tag
+    assert importer.harvested('<ol class="notes"><li id="fn1">' + "<b>x" * 1500)[0]["body"] == "x" * 1500
