@@ -1,9 +1,11 @@
 """Queries on tables that the small ones don't stand for: many rows, odd values."""
 
+import datetime
+
 import duckdb
 from pyspark.sql import functions as F
 
-from quillspark.operators import importer, similarity
+from quillspark.operators import importer, sequence, similarity
 from quillspark.plans import imports, registry
 from tests.compare import compare
 
@@ -38,3 +40,19 @@ def test_a_citation_in_capitals_matches_whatever_its_letters(spark):
     state = similarity.citation_state(F.col("text"), F.upper("text"))
     assert [r[0] for r in rows.select(state).collect()] == ["match", "match"]
     assert rows.select(similarity.citation_state(F.col("text"), F.reverse("text"))).first()[0] == "diff"
+
+
+def test_day_ids_of_a_crowded_day(spark, tmp_path):
+    at = datetime.datetime(2024, 11, 12)
+    spark.createDataFrame([(k, at) for k in range(2900)], "o_orderkey long, o_orderdate timestamp").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    for name in ("mint_day_ids", "mint_day_ids_whole"):
+        assert compare(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name], con) is None, name
+    assert registry.queries()["mint_day_ids_whole"](spark, str(tmp_path)).select("id").distinct().count() == 2900
+
+
+def test_equal_intervals_are_one(spark):
+    rows = spark.createDataFrame([(1, 6, 9), (1, 6, 9), (1, 6, 9), (1, 30, 31)], "k long, a long, b long")
+    assert sorted(tuple(r) for r in sequence.merge_intervals(rows, ["k"], "a", "b", 5).collect()) == [(1, 6, 9), (1, 30, 31)]
