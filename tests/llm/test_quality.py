@@ -381,6 +381,26 @@ def test_a_cluster_must_name_its_shared_folder():
         shared_folder(Fake(sparkContext=Fake(_jsc=unset, master="spark://host:7077"), conf=Fake(get=lambda name, default: default)))
 
 
+def test_stages_files_have_small_row_groups(spark, tmp_path):
+    import corpus_pipeline as cp
+    import pyarrow.parquet as pq
+
+    def largest(name: str) -> int:
+        docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+        cp.quality_rules(spark, docs, "/root/testdata/sf0.1").coalesce(1).write.parquet(str(tmp_path / name))
+        (file,) = (tmp_path / name).glob("*.parquet")
+        found = pq.ParquetFile(file).metadata
+        return max(found.row_group(k).total_byte_size for k in range(found.num_row_groups))
+
+    spark.conf.unset("parquet.block.size")
+    try:
+        assert largest("own") < 8 << 20
+        spark.conf.set("parquet.block.size", str(64 << 20))
+        assert largest("given") > 8 << 20
+    finally:
+        spark.conf.unset("parquet.block.size")
+
+
 def test_stages_on_odd_tables(spark, tmp_path):
     import corpus_pipeline as cp
 
