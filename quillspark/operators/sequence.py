@@ -87,10 +87,11 @@ def carry_forward(rows: DataFrame, partition: list[str], order: list[str], value
 
 
 def merge_intervals(rows: DataFrame, partition: list[str], start: str, end: str, slack=0) -> DataFrame:
-    """(partition, start, end) of intervals merged where the gap is at most ``slack``."""
-    w = Window.partitionBy(*partition).orderBy(start, end)
+    """(partition, start, end) of intervals merged where the gap is at most ``slack``; one without a start comes last and opens
+    none after a known end."""
+    w = Window.partitionBy(*partition).orderBy(F.col(start).asc_nulls_last(), F.col(end).asc_nulls_last())
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("__new", F.coalesce((F.col(start) > reach + slack).cast("long"), F.lit(1)))
+    marked = rows.withColumn("__new", F.when(reach.isNull() | (F.col(start) > reach + slack), 1).otherwise(0))
     numbered = marked.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return numbered.groupBy(*partition, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
 

@@ -56,3 +56,12 @@ def test_day_ids_of_a_crowded_day(spark, tmp_path):
 def test_equal_intervals_are_one(spark):
     rows = spark.createDataFrame([(1, 6, 9), (1, 6, 9), (1, 6, 9), (1, 30, 31)], "k long, a long, b long")
     assert sorted(tuple(r) for r in sequence.merge_intervals(rows, ["k"], "a", "b", 5).collect()) == [(1, 6, 9), (1, 30, 31)]
+
+
+def test_intervals_of_unknown_starts_and_broken_lengths(spark, tmp_path):
+    name = "interval_merge"
+    rows = [(1, 3, 2.5), (1, None, 4.0), (1, 11, 1.0), (2, 3, 3.5), (2, 13, 2.7), (2, 22, 1.0), (3, None, 1.0), (3, None, 2.0), (4, 5, None), (4, 5, 2.0), (4, 60, 1.5), (5, 7, None), (5, None, None), (None, 1, 1.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    assert compare(spark, str(tmp_path), registry.queries()[name], registry.oracle_sql()[name], con) is None
